@@ -1,0 +1 @@
+"""Intentionally empty: the work is batch only, there is no streaming query to serve."""
