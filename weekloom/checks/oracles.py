@@ -462,6 +462,13 @@ def _label(value: str, digits: int) -> str:
     )
 
 
+_GRAM_TERMS = ("1.0::DOUBLE", "lag_1", "lag_7", "lag_30", "y")
+step(
+    "millions",
+    f"SELECT * FROM (SELECT series_id, fold, y, {_lags('series_id, fold')} FROM "
+    "(SELECT * REPLACE (y / 1e6 AS y) FROM {train})) WHERE lag_30 IS NOT NULL",
+)
+
 _FOLD_COLUMNS = "series_id, fold, role, week_end, t, y"
 _PANEL_COLUMNS = "series_id, week_end, t, y"
 _SCORE_COLUMNS = "round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape, round(smape, 4) AS smape"
@@ -738,6 +745,23 @@ QUALIFY row_number() OVER (PARTITION BY series_id, metric ORDER BY value, {_ORDI
 SELECT series_id, model, rank, round(mean_rmse, 4) AS mean_rmse, selected AS in_ensemble, {_SCORE_COLUMNS}
 FROM {{weights}} JOIN {{averages}} USING (series_id, model)
 """,
+    "write_run": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {{{step_}}}"
+        for name, step_ in (
+            ("weights", "weights"),
+            ("cv_scores", "scores"),
+            ("cv_predictions", "predictions"),
+            ("forecasts", "forecasts"),
+        )
+    ),
+    "read_run": f"SELECT {_WEIGHT_COLUMNS} FROM {{weights}} WHERE series_id = 'NATION_4'",
+    "gram_solve": " UNION ALL ".join(
+        f"SELECT series_id, fold, {i} AS i, {j} AS j, round(sum({a} * {b}), 6) AS g "
+        "FROM {millions} GROUP BY 1, 2"
+        for i, a in enumerate(_GRAM_TERMS)
+        for j, b in enumerate(_GRAM_TERMS)
+        if j >= i
+    ),
     "format_magnitude_labels": f"""
 SELECT series_id, week_end, {_label("y", 0)} AS as_is, {_label("(y / 1000)", 1)} AS small,
        {_label("(y * 1000)", 0)} AS large, {_label("(y * 1000000)", 0)} AS huge

@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.checks.stand_ins import STAND_INS, stand_in_forecasts
-from weekloom.functions.metrics import METRICS, mae, mape, rmse, smape
+from weekloom.forecasters.additive import fc_additive as additive_forecast
+from weekloom.forecasters.arima import fc_arima as arima_forecast
+from weekloom.forecasters.arima import fit_arima
+from weekloom.forecasters.boosted import direct_rows, fit_first_week
+from weekloom.forecasters.boosted import explain_boosted as explain_trees
+from weekloom.forecasters.boosted import fc_boosted_direct as boosted_forecast
+from weekloom.forecasters.boosted import tune_boosted as tune_trees
+from weekloom.forecasters.gram import gram_sums
+from weekloom.forecasters.recurrent import fc_recurrent as recurrent_forecast
+from weekloom.functions.metrics import mae, mape, rmse, smape
 from weekloom.functions.text import format_magnitude
 from weekloom.operators import features as ft
 from weekloom.operators import folds as fd
@@ -17,7 +27,16 @@ from weekloom.operators import panel as pn
 from weekloom.operators import reports as rp
 from weekloom.operators import selection as sl
 from weekloom.operators import windows as wd
-from weekloom.params import FoldParams, PanelParams
+from weekloom.params import (
+    BoostedParams,
+    EnsembleParams,
+    FoldParams,
+    ModelParams,
+    PanelParams,
+    Settings,
+)
+from weekloom.plans import training as tr
+from weekloom.session import new_table_path, write_table
 from weekloom.sources import orders as od
 from weekloom.sources import runs as rn
 from weekloom.sources import sales as so
@@ -638,3 +657,129 @@ def format_magnitude_labels(spark, d):
         format_magnitude(y * 1000).alias("large"),
         format_magnitude(y * 1000000).alias("huge"),
     )
+
+
+# -- stored runs ------------------------------------------------------------------------------
+
+VERSION = "v20240101_000000"
+
+
+def _stored(spark, d) -> str:
+    """A run of the stand-ins, written to the shared folder."""
+    root = new_table_path(spark, "run")
+    predictions = _cv_predictions(spark, d)
+    rn.write_run(
+        root,
+        VERSION,
+        {
+            "weights": _weights(spark, d),
+            "cv_scores": sl.score_forecast(predictions),
+            "cv_predictions": predictions,
+            "forecasts": _forecasts(spark, d).drop("fold"),
+        },
+    )
+    return root
+
+
+@query
+def write_run(spark, d):
+    root = _stored(spark, d)
+    counts = None
+    for table in ("weights", "cv_scores", "cv_predictions", "forecasts"):
+        part = rn.read_run(spark, root, table, VERSION).agg(
+            F.lit(table).alias("table_name"), F.count("*").alias("n_rows")
+        )
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
+
+
+@query
+def read_run(spark, d):
+    stored = rn.read_run(spark, _stored(spark, d), "weights", VERSION, "nation_4").drop("version")
+    return rounded(stored, weight=8)
+
+
+# -- forecasters ------------------------------------------------------------------------------
+
+# Few and shallow trees with the week ahead as a feature: the settings of the checks, not a default.
+QUICK = BoostedParams(n_estimators=8, max_depth=3, per_horizon=False)
+QUICK_SETTINGS = Settings(preprocessing=MONEY, models=ModelParams(boosted=QUICK))
+
+
+@query
+def gram_solve(spark, d):
+    """Sums of products of 1, three lags and the value in millions, per nation and fold."""
+    rows = fd.training_rows(_nation_folds(spark, d)).withColumn("y", F.col("y") / 1e6)
+    lagged = rows.select("*", *ft.lag_features(FEATURES, ("series_id", "fold"))).na.drop()
+    z = F.array(F.lit(1.0), *[f"lag_{k}" for k in FEATURES.lags], "y")
+    sums = gram_sums(lagged.select("series_id", "fold", z.alias("z")), ("series_id", "fold"), "z", 5)
+    return rounded(sums, 6)
+
+
+@query
+def fc_arima(spark, d):
+    return arima_forecast(fd.training_rows(_nation_folds(spark, d)), 8)
+
+
+@query
+def arima_orders(spark, d):
+    """The order chosen per nation and fold."""
+    fitted = fit_arima(fd.training_rows(_nation_folds(spark, d)), 8)
+    return fitted.select("series_id", "fold", "d", "order", "aic")
+
+
+@query
+def fc_additive(spark, d):
+    return additive_forecast(fd.training_rows(_nation_folds(spark, d)), 8)
+
+
+@query
+def fc_boosted_direct(spark, d):
+    return boosted_forecast(fd.training_rows(_nation_folds(spark, d)), 8, QUICK)
+
+
+@query
+def fc_recurrent(spark, d):
+    return recurrent_forecast(fd.training_rows(_nation_folds(spark, d)), 8)
+
+
+@query
+def tune_boosted(spark, d):
+    trials = [replace(QUICK, max_depth=depth, learning_rate=rate) for depth, rate in ((2, 0.1), (3, 0.3))]
+    return tune_trees(_nation_folds(spark, d), 8, QUICK, trials=trials)
+
+
+@query
+def explain_boosted(spark, d):
+    """Contribution of every feature to every weekly forecast of every nation."""
+    history = fd.full_history(_nation_panel(spark, d))
+    rows = direct_rows(history, 1, FEATURES)
+    model = fit_first_week(rows, replace(QUICK, per_horizon=True), FEATURES, fd.REFIT_FOLD)
+    return explain_trees(model, rows.targets, ("series_id", "t"), FEATURES, permutations=1)
+
+
+@query
+def cv_run(spark, d):
+    panel = write_table(_nation_panel(spark, d), "panel")
+    return tr.cv_run(fd.walk_forward_folds(panel), QUICK_SETTINGS)
+
+
+@query
+def refit_full(spark, d):
+    """The two models that learn each series on its own, chosen by cross-validation."""
+    panel = write_table(_nation_panel(spark, d), "panel")
+    models = tr.LOCAL_MODELS
+    predictions = tr.cv_run(fd.walk_forward_folds(panel), QUICK_SETTINGS, models)
+    one = EnsembleParams(top_k=1)
+    weights = write_table(sl.weigh_models(sl.score_forecast(predictions), one, models), "weights")
+    return tr.refit_full(panel, weights, QUICK_SETTINGS, models)
+
+
+@query
+def train_run(spark, d):
+    """A whole stored run of the four models; its ensemble forecast with bands, read back."""
+    root = new_table_path(spark, "run")
+    tr.train_run(od.nation_sales(spark, d), root, VERSION, NOW, QUICK_SETTINGS)
+    forecasts = rn.read_run(spark, root, "forecasts", VERSION)
+    weights = rn.read_run(spark, root, "weights", VERSION)
+    return rp.forecast_bands(rp.ensemble_forecast(forecasts, weights))
