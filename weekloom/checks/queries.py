@@ -483,7 +483,7 @@ def clip_sampling_params(spark, d):
 @query
 def train_subset(spark, d):
     names = ["NATION_3", "NATION_7", "NATION_11"]
-    return sl.train_subset(_nation_panel(spark, d), names)
+    return sl.train_subset(write_table(_nation_panel(spark, d), "panel"), names)
 
 
 @query

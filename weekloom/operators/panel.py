@@ -37,12 +37,12 @@ def gap_fill_grid(weekly: DataFrame) -> DataFrame:
     calendar to join with.
     """
     by_week = Window.partitionBy("series_id").orderBy("week_end")
-    whole = Window.partitionBy("series_id")
+    so_far = by_week.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     observed = weekly.select(
         "series_id",
         F.col("week_end").alias("seen"),
         "y",
-        F.min("week_end").over(whole).alias("first_week"),
+        F.min("week_end").over(so_far).alias("first_week"),
         F.coalesce(F.date_sub(F.lead("week_end").over(by_week), 7), F.col("week_end")).alias("upto"),
     )
     weeks = F.sequence("seen", "upto", F.expr("INTERVAL 7 DAYS"))

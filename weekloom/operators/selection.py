@@ -132,18 +132,23 @@ def clip_sampling_params(trials: DataFrame, low: float = 0.3, high: float = 1.0)
     return trials.withColumns(clipped)
 
 
-def train_subset(panel: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The named series only; a name that is not in the panel is an error.
-
-    ``names`` is a caller's list, so the check reads at most one row per name.
-    """
-    spark = panel.sparkSession
-    wanted = spark.createDataFrame([(n,) for n in names], "series_id string").distinct()
-    unknown = wanted.join(panel.select("series_id"), "series_id", "left_anti")
-    missing = sorted(r.series_id for r in unknown.collect())
+def check_series(panel: DataFrame, names: Sequence[str]) -> None:
+    """A name that is not in the panel is an error; reads at most one row per name."""
+    wanted = panel.sparkSession.createDataFrame([(n,) for n in names], "series_id string")
+    missing = sorted(r.series_id for r in wanted.join(panel, "series_id", "left_anti").collect())
     if missing:
         raise ValueError(f"unknown series: {missing}")
-    return panel.join(wanted, "series_id", "left_semi")
+
+
+def named_series(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of the named series: a literal filter that reaches the scan, before any shuffle."""
+    return df.where(F.col("series_id").isin(list(names)))
+
+
+def train_subset(panel: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named series of a stored panel only; a name that is not in it is an error."""
+    check_series(panel, names)
+    return named_series(panel, names)
 
 
 def run_summary(

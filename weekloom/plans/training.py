@@ -19,9 +19,10 @@ from weekloom.operators.features import future_calendar
 from weekloom.operators.folds import full_history, skipped_series, training_rows, walk_forward_folds
 from weekloom.operators.panel import prepare_panel
 from weekloom.operators.selection import (
+    check_series,
     complete_predictions,
+    named_series,
     score_forecast,
-    train_subset,
     unusable_series,
     weigh_models,
 )
@@ -92,8 +93,10 @@ def train_run(
     tune: bool = False,
 ) -> None:
     """Sales to a stored run; ``tune`` searches the boosted trees' parameters on fold 0 first."""
-    panel = prepare_panel(sales, settings.preprocessing)
-    panel = write_table(train_subset(panel, names) if names else panel, "panel")
+    sales = named_series(sales, names) if names else sales
+    panel = write_table(prepare_panel(sales, settings.preprocessing), "panel")
+    if names:
+        check_series(panel, names)
     folds = walk_forward_folds(panel, settings.cv)
     if tune and "boosted" in models:
         boosted = settings.models.boosted
