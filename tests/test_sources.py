@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from weekloom.params import SalesColumns, Settings
+from weekloom.sources import runs as rn
+from weekloom.sources import sales as so
+
+
+def test_settings_have_all_sections_and_defaults():
+    s = Settings()
+    for section in ("data", "preprocessing", "models", "cv", "forecast", "ensemble", "features"):
+        assert hasattr(s, section)
+    assert s.forecast.horizon_weeks == 8 and s.cv.min_folds >= 1
+
+
+def test_settings_from_mapping():
+    s = Settings.from_mapping({"cv": {"step": 2}, "features": {"lags": [1, 2]}, "models": {"arima": {"m": 26}}})
+    assert (s.cv.step, s.features.lags, s.models.arima.m, s.cv.horizon) == (2, (1, 2), 26, 8)
+    with pytest.raises(ValueError, match="unknown keys"):
+        Settings.from_mapping({"cv": {"steps": 2}})
+    with pytest.raises(ValueError, match="must agree"):
+        Settings.from_mapping({"cv": {"horizon": 4}})
+    with pytest.raises(ValueError, match="positive"):
+        Settings.from_mapping({"cv": {"step": 0}})
+
+
+def test_missing_file(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        so.scan_sales(spark, str(tmp_path / "none.csv"))
+    with pytest.raises(ValueError, match="unsupported format"):
+        so.scan_sales(spark, str(tmp_path / "sales.xlsx"))
+
+
+def test_missing_columns(spark):
+    df = spark.createDataFrame([("a",)], "State string")
+    with pytest.raises(ValueError, match="missing columns.*Date"):
+        so.validate_columns(df, SalesColumns().required)
+
+
+def test_scan_csv(spark, tmp_path):
+    file = tmp_path / "sales.csv"
+    file.write_text(
+        "State,Date,Total,Category\nTexas,13-02-2019,1.5,x\nTexas,2019-02-14,2,x\nOhio,43478,3,y\n"
+    )
+    rows = {r.ds: (r.series_id, r.value) for r in so.scan_sales(spark, str(file)).collect()}
+    assert rows == {
+        date(2019, 2, 13): ("Texas", 1.5),
+        date(2019, 2, 14): ("Texas", 2.0),
+        date(2019, 1, 13): ("Ohio", 3.0),
+    }
+
+
+def test_scan_parquet_and_orc_with_native_dates(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("a", datetime(2020, 1, 1, 5), 2, "c")], "g string, d timestamp, v int, k string"
+    )
+    columns = SalesColumns("g", "d", "v", "k")
+    for fmt in ("parquet", "orc"):
+        path = str(tmp_path / f"x.{fmt}")
+        df.write.format(fmt).save(path)
+        row = so.scan_sales(spark, path, columns).first()
+        assert (row.series_id, row.ds, row.value) == ("a", date(2020, 1, 1), 2.0)
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("13-02-2019", date(2019, 2, 13)),
+        ("2019-02-13", date(2019, 2, 13)),
+        ("43478", date(2019, 1, 13)),
+        (" 3-4-2020 ", date(2020, 4, 3)),
+        ("2019-02-13 00:00:00", date(2019, 2, 13)),
+        (None, None),
+    ],
+)
+def test_mixed_dates(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "d string")
+    assert so.parse_mixed_dates(df, "d").first().d == expected
+
+
+def test_bad_text_is_an_error_or_null(spark):
+    df = spark.createDataFrame([("soon",)], "d string")
+    assert so.parse_mixed_dates(df, "d", strict=False).first().d is None
+    with pytest.raises(Exception, match="not a date"):
+        so.parse_mixed_dates(df, "d").collect()
+    with pytest.raises(Exception, match="not a number"):
+        so.cast_target(df, "d").collect()
+
+
+def _weights(spark, series="a"):
+    return spark.createDataFrame(
+        [(series, "m1", 2.0, 1, True, 1.0), (series, "m2", 3.0, 2, False, None)],
+        "series_id string, model string, mean_rmse double, rank int, selected boolean, weight double",
+    )
+
+
+def test_write_run_twice_leaves_one_copy(spark, tmp_path):
+    root = str(tmp_path)
+    for version in ("v20240101_000000", "v20240201_000000", "v20240201_000000"):
+        rn.write_run(root, version, {"weights": _weights(spark)})
+    stored = spark.read.parquet(f"{root}/weights")
+    assert stored.count() == 4
+    assert rn.read_run(spark, root, "weights", "v20240101_000000", " A ").count() == 2
+    assert [r.series_id for r in rn.list_series(stored, "v20240201_000000").collect()] == ["a"]
+    with pytest.raises(ValueError, match="unknown run tables"):
+        rn.write_run(root, "v", {"models": _weights(spark)})
+
+
+def test_latest_version(spark, tmp_path):
+    root = str(tmp_path)
+    n = spark.range(1).select(F.lit(3).alias("n_series"))
+    for version, at in (("v20240301_000000", datetime(2024, 3, 1)), ("v20240101_000000", datetime(2024, 4, 1))):
+        rn.append_manifest(root, version, at, n)
+    runs = spark.read.parquet(f"{root}/runs")
+    both = runs.select("version")
+    assert rn.latest_version(runs, both).first().version == "v20240101_000000"
+    only_old = both.where("version = 'v20240301_000000'")
+    assert rn.latest_version(runs, only_old).first().version == "v20240301_000000"
+    assert rn.latest_version(runs.limit(0), both).first().version == "v20240301_000000"
+    current = {r.version for r in rn.run_manifest(runs).where("is_current").collect()}
+    assert current == {"v20240101_000000"}
+    assert rn.version_name(datetime(2024, 3, 1, 1, 2, 3)) == "v20240301_010203"
+
+
+def test_staleness(spark):
+    runs = spark.createDataFrame([("v20240101_000000",), ("v20240301_000000",), ("other",)], "version string")
+    aged = {r.version: r for r in rn.model_staleness(runs, datetime(2024, 3, 10)).collect()}
+    assert aged["v20240101_000000"].age_weeks == 9 and "9 weeks" in aged["v20240101_000000"].warning
+    assert aged["v20240301_000000"].age_weeks == 1 and aged["v20240301_000000"].warning is None
+    assert aged["other"].age_weeks is None
