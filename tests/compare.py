@@ -1,28 +1,12 @@
-"""Compare a Spark result with DuckDB SQL over the same tables, as sets of rows."""
+"""Compare a Spark result with DuckDB SQL over the same tables, as bags of rows."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from pathlib import Path
 
 import duckdb
 
 
-def _plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
-        return None
-    if isinstance(value, float) and value == 0:
-        return 0.0
-    return value
-
-
-def _rows(table):
-    order = sorted(table.column_names)
-    columns = [table.column(name).to_pylist() for name in order]
-    return order, Counter(tuple(map(_plain, row)) for row in zip(*columns))
-
-
 def connect(sf_dir: str):
     con = duckdb.connect()
     for file in Path(sf_dir).glob("*.parquet"):
@@ -30,26 +14,26 @@ def connect(sf_dir: str):
     return con
 
 
-def difference(spark_df, con, sql: str, show: int = 3) -> str | None:
+def _types(con, relation: str) -> dict[str, str]:
+    described = con.execute(f"DESCRIBE SELECT * FROM {relation}").fetchall()
+    return {row[0]: row[1] for row in described}
+
+
+def difference(spark_df, con, sql: str) -> str | None:
     """None when both sides hold the same rows under the same names and types."""
-    mine = spark_df.toArrow()
-    theirs = con.execute(sql).to_arrow_table() if hasattr(con, "execute") else None
-    my_order, my_rows = _rows(mine)
-    their_order, their_rows = _rows(theirs)
-    if my_order != their_order:
-        return f"columns {my_order} != {their_order}"
-    kinds = {
-        n: (str(mine.schema.field(n).type), str(theirs.schema.field(n).type))
-        for n in my_order
-        if str(mine.schema.field(n).type).replace("large_", "")
-        != str(theirs.schema.field(n).type).replace("large_", "")
-    }
-    if my_rows != their_rows:
-        return (
-            f"{sum(my_rows.values())} rows vs {sum(their_rows.values())}; "
-            f"only spark {list((my_rows - their_rows).items())[:show]}; "
-            f"only sql {list((their_rows - my_rows).items())[:show]}"
-        )
-    if kinds:
-        return f"types {kinds}"
-    return None
+    con.register("mine", spark_df.toArrow())
+    try:
+        con.execute(f"CREATE OR REPLACE TEMP TABLE theirs AS {sql}")
+        left, right = _types(con, "mine"), _types(con, "theirs")
+        if left != right:
+            return f"columns {sorted(set(left.items()) ^ set(right.items()))}"
+        columns = ", ".join(f'"{c}"' for c in sorted(left))
+        only = {}
+        for name, a, b in (("spark", "mine", "theirs"), ("sql", "theirs", "mine")):
+            query = f"SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b}"
+            only[name] = con.execute(f"SELECT count(*) FROM ({query})").fetchall()[0][0]
+            if only[name]:
+                only[name] = (only[name], con.execute(f"{query} LIMIT 3").fetchall())
+        return f"rows only in {only}" if any(only.values()) else None
+    finally:
+        con.unregister("mine")
