@@ -316,14 +316,13 @@ FROM {folds} f JOIN (
 step(
     "windows",
     """
-SELECT a.series_id, a.fold, a.week_end, a.t,
-       first.y_scaled AS first_value, a.y_scaled AS last_value, next1.y_scaled AS first_target,
-       next8.y_scaled AS last_target, week(a.week_end) / 52.0::DOUBLE AS last_week
-FROM {scaled} a
-JOIN {scaled} first ON first.series_id = a.series_id AND first.fold = a.fold AND first.t = a.t - 51
-JOIN {scaled} next1 ON next1.series_id = a.series_id AND next1.fold = a.fold AND next1.t = a.t + 1
-JOIN {scaled} next8 ON next8.series_id = a.series_id AND next8.fold = a.fold AND next8.t = a.t + 8
-WHERE a.role = 'train' AND next8.role = 'train'
+SELECT series_id, fold, week_end, t, first_value, y_scaled AS last_value, first_target, last_target,
+       week(week_end) / 52.0::DOUBLE AS last_week
+FROM (SELECT *, lag(y_scaled, 51) OVER w AS first_value, lead(y_scaled, 1) OVER w AS first_target,
+             lead(y_scaled, 8) OVER w AS last_target
+      FROM {scaled} WHERE role = 'train'
+      WINDOW w AS (PARTITION BY series_id, fold ORDER BY week_end))
+WHERE first_value IS NOT NULL AND last_target IS NOT NULL
 """,
 )
 
@@ -462,6 +461,34 @@ def _label(value: str, digits: int) -> str:
     )
 
 
+
+
+def _kpss(x: str) -> str:
+    """Level KPSS statistic of ``x`` per series and fold, with a Bartlett window."""
+    lags = ", ".join(
+        f"greatest(0.0, 1 - {j} / (lim + 1)) * 2 * e * coalesce(lag(e, {j}) OVER w, 0) AS c{j}"
+        for j in range(1, 10)
+    )
+    total = " + ".join(f"c{j}" for j in range(1, 10))
+    return f"""
+SELECT series_id, fold, sum(s * s) / nullif(count(e) * sum(e * e + {total}), 0) AS k
+FROM (SELECT *, sum(e) OVER (w ROWS UNBOUNDED PRECEDING) AS s, {lags}
+      FROM (SELECT series_id, fold, t, {x} - avg({x}) OVER f AS e,
+                   floor(4 * pow(count({x}) OVER f / 100, 0.25)) AS lim
+            FROM {{differences}} WINDOW f AS (PARTITION BY series_id, fold))
+      WHERE e IS NOT NULL
+      WINDOW w AS (PARTITION BY series_id, fold ORDER BY t))
+GROUP BY 1, 2
+"""
+
+
+step(
+    "differences",
+    "SELECT *, y - lag(y) OVER (PARTITION BY series_id, fold ORDER BY t) AS dy FROM {train}",
+)
+step("kpss_level", _kpss("y"))
+step("kpss_change", _kpss("dy"))
+
 _GRAM_TERMS = ("1.0::DOUBLE", "lag_1", "lag_7", "lag_30", "y")
 step(
     "millions",
@@ -755,6 +782,16 @@ FROM {{weights}} JOIN {{averages}} USING (series_id, model)
         )
     ),
     "read_run": f"SELECT {_WEIGHT_COLUMNS} FROM {{weights}} WHERE series_id = 'NATION_4'",
+    "arima_differencing": """
+SELECT series_id, fold, round(a.k, 6) AS k0, round(b.k, 6) AS k1,
+       CASE WHEN coalesce(a.k < 0.463, true) THEN 0 WHEN coalesce(b.k < 0.463, true) THEN 1 ELSE 2 END AS d
+FROM {kpss_level} a JOIN {kpss_change} b USING (series_id, fold)
+""",
+    "latest_per_series": """
+SELECT CAST(user_id AS VARCHAR) AS series_id, 'v' || strftime(ts, '%Y%m%d_%H%M%S') AS version, event_id
+FROM events
+QUALIFY version = max(version) OVER (PARTITION BY user_id)
+""",
     "gram_solve": " UNION ALL ".join(
         f"SELECT series_id, fold, {i} AS i, {j} AS j, round(sum({a} * {b}), 6) AS g "
         "FROM {millions} GROUP BY 1, 2"

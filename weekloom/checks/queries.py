@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weekloom.checks.stand_ins import STAND_INS, stand_in_forecasts
 from weekloom.forecasters.additive import fc_additive as additive_forecast
 from weekloom.forecasters.arima import fc_arima as arima_forecast
-from weekloom.forecasters.arima import fit_arima
+from weekloom.forecasters.arima import differencing_order, fit_arima
 from weekloom.forecasters.boosted import direct_rows, fit_first_week
 from weekloom.forecasters.boosted import explain_boosted as explain_trees
 from weekloom.forecasters.boosted import fc_boosted_direct as boosted_forecast
@@ -554,6 +554,15 @@ def latest_version(spark, d):
     return rn.latest_version(_event_runs(spark, d), stored)
 
 
+@query
+def latest_per_series(spark, d):
+    """Users as series, the seconds of their events as versions."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    version = F.concat(F.lit("v"), F.date_format("ts", "yyyyMMdd_HHmmss"))
+    stored = events.select(so.series_key("user_id").alias("series_id"), version.alias("version"), "event_id")
+    return rn.latest_per_series(stored)
+
+
 @query
 def list_series(spark, d):
     return rn.list_series(_weights(spark, d))
@@ -728,6 +737,16 @@ def arima_orders(spark, d):
     return fitted.select("series_id", "fold", "d", "order", "aic")
 
 
+@query
+def arima_differencing(spark, d):
+    """KPSS statistics of the values and their changes, and the differencing order they give."""
+    rows = differencing_order(fd.training_rows(_nation_folds(spark, d)))
+    per_fold = rows.groupBy("series_id", "fold").agg(
+        F.first("k0").alias("k0"), F.first("k1").alias("k1"), F.first("d").alias("d")
+    )
+    return rounded(per_fold, 6)
+
+
 @query
 def fc_additive(spark, d):
     return additive_forecast(fd.training_rows(_nation_folds(spark, d)), 8)

@@ -18,14 +18,19 @@ MODEL_ORDER = ("arima", "additive", "boosted", "recurrent")
 class SalesColumns:
     """Names of the four columns of a raw sales table."""
 
-    group_col: str = "State"
+    # One column, or several that name a series together.
+    group_col: str | tuple[str, ...] = "State"
     date_col: str = "Date"
     target_col: str = "Total"
     category_col: str = "Category"
 
+    @property
+    def groups(self) -> tuple[str, ...]:
+        return (self.group_col,) if isinstance(self.group_col, str) else tuple(self.group_col)
+
     @property
     def required(self) -> tuple[str, ...]:
-        return (self.group_col, self.date_col, self.target_col, self.category_col)
+        return (*self.groups, self.date_col, self.target_col, self.category_col)
 
 
 @dataclass(frozen=True)
@@ -36,8 +41,13 @@ class PanelParams:
     # Digits after the point of the target. When set, sums run on whole minor units and so do not
     # depend on the order of rows: a recomputed task gives the same bits. None sums doubles.
     minor_digits: int | None = None
+    # "series" takes the capping bounds from all weeks of a series, "fold" from the train weeks of
+    # each fold, so that test weeks have no say in them.
+    fit_scope: str = "series"
 
     def __post_init__(self):
+        if self.fit_scope not in ("series", "fold"):
+            raise ValueError(f"unknown fit scope {self.fit_scope!r}")
         if self.imputation not in ("linear", "ffill", "bfill"):
             raise ValueError(f"unknown imputation {self.imputation!r}")
         if self.outlier_strategy not in ("cap", "none"):

@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from weekloom.forecasters.boosted import best_params, tune_boosted
 from weekloom.forecasters.registry import FORECASTERS
 from weekloom.operators.features import future_calendar
-from weekloom.operators.folds import full_history, skipped_series, training_rows, walk_forward_folds
-from weekloom.operators.panel import prepare_panel
+from weekloom.operators.folds import (
+    fold_scoped_cap,
+    full_history,
+    skipped_series,
+    training_rows,
+    walk_forward_folds,
+)
+from weekloom.operators.panel import iqr_cap, prepare_panel
 from weekloom.operators.selection import (
     check_series,
     complete_predictions,
@@ -94,10 +100,14 @@ def train_run(
 ) -> None:
     """Sales to a stored run; ``tune`` searches the boosted trees' parameters on fold 0 first."""
     sales = named_series(sales, names) if names else sales
-    panel = write_table(prepare_panel(sales, settings.preprocessing), "panel")
+    by_fold = settings.preprocessing.fit_scope == "fold"
+    panel = write_table(prepare_panel(sales, settings.preprocessing, cap=not by_fold), "panel")
     if names:
         check_series(panel, names)
     folds = walk_forward_folds(panel, settings.cv)
+    if by_fold and settings.preprocessing.outlier_strategy == "cap":
+        folds = fold_scoped_cap(folds, settings.preprocessing.iqr_multiplier)
+        panel = write_table(iqr_cap(panel, settings.preprocessing.iqr_multiplier), "panel-capped")
     if tune and "boosted" in models:
         boosted = settings.models.boosted
         best = best_params(tune_boosted(folds, settings.cv.horizon, boosted, settings.features), boosted)
@@ -113,7 +123,7 @@ def train_run(
         version,
         {
             "weights": weights,
-            "cv_scores": scores,
+            "cv_scores": scores.withColumn("error", F.when(F.col("rmse").isNull(), "incomplete forecast")),
             "cv_predictions": predictions,
             "forecasts": refit_full(panel, weights, settings, models),
             "skipped": skipped,

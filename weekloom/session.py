@@ -72,11 +72,15 @@ def write_table(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     Reading back also gives Catalyst true sizes, so later joins broadcast only what really is small.
     """
     path = new_table_path(df.sparkSession, label)
+    schema = df.schema
+    if partition_by:
+        # Few large files per partition value; adaptive execution splits the values that are large.
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

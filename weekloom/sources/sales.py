@@ -64,13 +64,18 @@ def parse_mixed_dates(df: DataFrame, column: str, strict: bool = True) -> DataFr
 
 
 def cast_target(df: DataFrame, column: str) -> DataFrame:
-    """Force the target to DOUBLE; text that is not a number is an error, not a NULL."""
+    """Force the target to DOUBLE; text that is not a number is an error, NaN is a missing value."""
     if not isinstance(df.schema[column].dataType, T.StringType):
-        return df.withColumn(column, F.col(column).cast("double"))
+        return df.withColumn(column, _nan_to_null(F.col(column).cast("double")))
     number = F.col(column).try_cast("double")
     bad = number.isNull() & F.col(column).isNotNull()
     message = F.concat(F.lit("not a number: "), F.col(column))
-    return df.withColumn(column, F.when(bad, F.raise_error(message)).otherwise(number))
+    checked = F.when(bad, F.raise_error(message)).otherwise(number)
+    return df.withColumn(column, _nan_to_null(checked))
+
+
+def _nan_to_null(value: Column) -> Column:
+    return F.nullif(value, F.lit(float("nan")))
 
 
 def series_key(*columns: str) -> Column:
@@ -92,7 +97,7 @@ def scan_sales(
     raw = validate_columns(read_raw(spark, path, fmt), columns.required)
     typed = cast_target(parse_mixed_dates(raw, columns.date_col, strict_dates), columns.target_col)
     return typed.select(
-        series_key(columns.group_col).alias("series_id"),
+        series_key(*columns.groups).alias("series_id"),
         F.col(columns.date_col).alias("ds"),
         F.col(columns.target_col).alias("value"),
         F.col(columns.category_col).cast("string").alias("category"),
