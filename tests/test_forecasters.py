@@ -10,7 +10,7 @@ from helpers import SUNDAY, forecasts, history, panel
 from weekloom.forecasters import boosted as bo
 from weekloom.forecasters.additive import fc_additive
 from weekloom.forecasters.arima import fc_arima, fit_arima
-from weekloom.forecasters.gram import gram_matrix, gram_sums
+from weekloom.forecasters.gram import gram_by_group, gram_matrix, gram_sums
 from weekloom.forecasters.recurrent import fc_recurrent
 from weekloom.forecasters.registry import FORECASTERS
 from weekloom.operators import folds as fd
@@ -44,12 +44,27 @@ def truth_after(n: int) -> np.ndarray:
 def test_gram_sums_agree_with_numpy(spark):
     x = RNG.normal(size=(50, 3))
     df = spark.createDataFrame([(i % 2, [float(v) for v in row]) for i, row in enumerate(x)], "k int, z array<double>")
-    for r in gram_matrix(df, ("k",), "z", 3).collect():
-        part = x[r.k :: 2]
-        np.testing.assert_allclose(np.array(r.gram), part.T @ part)
+    for grams in (gram_matrix(df, ("k",), "z", 3), gram_by_group(df, ("k",), "z")):
+        for r in grams.collect():
+            part = x[r.k :: 2]
+            np.testing.assert_allclose(np.array(r.gram).reshape(3, 3), part.T @ part)
     assert gram_sums(df, ("k",), "z", 3).count() == 2 * 6
 
 
+def test_gram_sums_of_many_groups_are_whole(spark):
+    """More groups than a task holds at a time, each spread over the whole input."""
+    df = spark.range(0, 6000, 1, 2).select((F.col("id") % 1500).alias("k"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("z"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        got = {r.k: r.gram for r in gram_matrix(df, ("k",), "z", 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1500
+    for k in (0, 7, 1499):
+        ids = [k + 1500 * j for j in range(4)]
+        np.testing.assert_allclose(got[k], [4, sum(ids), sum(ids), sum(i * i for i in ids)])
+
+
 def test_additive_follows_a_line(spark):
     line = [50 + 2.0 * t for t in range(N)]
     p = AdditiveParams(yearly_seasonality=False, holidays=False)
