@@ -493,7 +493,7 @@ _GRAM_TERMS = ("1.0::DOUBLE", "lag_1", "lag_7", "lag_30", "y")
 step(
     "millions",
     f"SELECT * FROM (SELECT series_id, fold, y, {_lags('series_id, fold')} FROM "
-    "(SELECT * REPLACE (y / 1e6 AS y) FROM {train})) WHERE lag_30 IS NOT NULL",
+    "(SELECT * REPLACE (y / 1e6 AS y) FROM {converted})) WHERE lag_30 IS NOT NULL",
 )
 
 _FOLD_COLUMNS = "series_id, fold, role, week_end, t, y"

@@ -718,7 +718,7 @@ QUICK_SETTINGS = Settings(preprocessing=MONEY, models=ModelParams(boosted=QUICK)
 @query
 def gram_solve(spark, d):
     """Sums of products of 1, three lags and the value in millions, per nation and fold."""
-    rows = fd.training_rows(_nation_folds(spark, d)).withColumn("y", F.col("y") / 1e6)
+    rows = fd.training_rows(_converted_folds(spark, d)).withColumn("y", F.col("y") / 1e6)
     lagged = rows.select("*", *ft.lag_features(FEATURES, ("series_id", "fold"))).na.drop()
     z = F.array(F.lit(1.0), *[f"lag_{k}" for k in FEATURES.lags], "y")
     sums = gram_sums(lagged.select("series_id", "fold", z.alias("z")), ("series_id", "fold"), "z", 5)
