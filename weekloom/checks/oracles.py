@@ -618,9 +618,8 @@ FROM (SELECT series_id, max(week_end) AS last_week FROM {segment_panel} GROUP BY
      (SELECT unnest(generate_series(1, 8)) AS h)
 """,
     "minmax_scale": """
-SELECT series_id, fold, role, week_end, t, round(y, 4) AS y, round(y_min, 4) AS y_min,
-       round(y_range, 4) AS y_range, round(y_scaled, 8) AS y_scaled,
-       round(y_scaled * y_range + y_min, 4) AS y_back FROM {scaled}
+SELECT series_id, fold, role, week_end, t, y, y_min, y_range, y_scaled,
+       y_scaled * y_range + y_min AS y_back FROM {scaled}
 """,
     "timestep_features": f"""
 SELECT series_id, fold, t, round(y_scaled, 6) AS x01, round(week(week_end) / 52.0::DOUBLE, 6) AS x02,

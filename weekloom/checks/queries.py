@@ -353,7 +353,7 @@ def minmax_scale(spark, d):
     train = F.col("role") == "train"
     scaled = wd.minmax_scale(_nation_folds(spark, d), fit_rows=train)
     back = wd.minmax_inverse(F.col("y_scaled"), F.col("y_min"), F.col("y_range"))
-    return rounded(scaled.withColumn("y_back", back), y_scaled=8)
+    return scaled.withColumn("y_back", back)
 
 
 @query
