@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekloom.llm import packing, simhash, tokens
-from weekloom.session import new_table_path
+from weekloom.llm import langid, licenses, packing, secret_scan, simhash, tokens, warc
+from weekloom.session import new_table_path, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -37,3 +38,47 @@ def op5_simhash_groups(spark, d):
 @query
 def op7_packing(spark, d):
     return packing.pack_documents(_table(spark, d, "documents"))
+
+
+@query
+def op2_warc(spark, d):
+    archives = write_table(warc.write_archives(_table(spark, d, "pages")), "archives")
+    return warc.read_archives(archives, payloads=False).drop("payload", "url")
+
+
+_HEX_PART = "('0x' || substr(digest, {}, 5))::INTEGER"
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({} >> {}) & 31) + 1, 1)"
+_BASE32 = " || ".join(_LETTER.format(_HEX_PART.format(1 + 5 * k), 15 - 5 * j) for k in range(8) for j in range(4))
+SQL["op2_warc"] = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+     digests AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS digest,
+                        max(page_id) OVER (PARTITION BY payload) AS best FROM payloads)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN NULL ELSE best END AS refers_to
+FROM digests"""
+
+
+@query
+def op4_secret_scan(spark, d):
+    found = secret_scan.scan_secrets(_table(spark, d, "documents"))
+
+    def spans_of(kind):
+        return F.size(F.filter("spans", lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [spans_of(kind) for kind in secret_scan.KINDS]
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, F.col("all_spans").alias("spans"))
+
+
+@query
+def op9_license_scan(spark, d):
+    return licenses.scan_licenses(_table(spark, d, "documents"))
+
+
+@query
+def op10_language_id(spark, d):
+    docs = _table(spark, d, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    own = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.predict(own, model).drop("text")
