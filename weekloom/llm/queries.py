@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import langid, licenses, packing, secret_scan, simhash, tokens, warc
+from weekloom.llm import ann, langid, licenses, packing, secret_scan, simhash, substring, tokens, warc
 from weekloom.session import new_table_path, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,14 @@ def op10_language_id(spark, d):
     model = langid.train(docs.where(~langid.held_out()))
     own = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
     return langid.predict(own, model).drop("text")
+
+
+@query
+def op6_substring_dedup(spark, d):
+    return substring.remove_repeats(_table(spark, d, "documents"), with_text=False).drop("kept")
+
+
+@query
+def op8_cross_polytope(spark, d):
+    vectors = _table(spark, d, "embeddings")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
