@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from weekloom.llm.common import map_batches
 
 UNDETERMINED = "und"
 MAX_LANGUAGES = 64
+# Below this a filter knows next to nothing of a text; clean texts of a few words reach 0.3 and more.
+LEAST_SCORE = 0.1
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 # A text is looked up in windows of this many bytes, which bounds memory; all of it is looked up.
 _PIECE = 1 << 20
@@ -158,8 +161,6 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def identify(texts):
-        import pandas as pd
-
         return pd.DataFrame([predict_text(shared.value, t) for t in texts], columns=["lang_pred", "score"])
 
     found = docs.withColumn("_identified", identify(F.col(text_col)))
@@ -170,5 +171,21 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
     )
 
 
+def keep_identified(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = LEAST_SCORE
+) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with ``least_score`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def identified(texts):
+        if not shared.value.languages:
+            return texts.map(has_letter)
+        found = (predict_text(shared.value, t) for t in texts)
+        return pd.Series([lang != UNDETERMINED and score >= least_score for lang, score in found], dtype=bool)
+
+    return docs.where(identified(F.col(text_col)))
+
+
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

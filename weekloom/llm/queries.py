@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import ann, langid, licenses, packing, secret_scan, simhash, substring, tokens, warc
+from weekloom.llm import ann, decontam, langid, licenses, packing, secret_scan, simhash, substring, tokens, warc
 from weekloom.session import new_table_path, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op6_substring_dedup(spark, d):
 def op8_cross_polytope(spark, d):
     vectors = _table(spark, d, "embeddings")
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op1_decontamination(spark, d):
+    return decontam.find_leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark"))

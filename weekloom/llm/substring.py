@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +62,7 @@ class _Chunk:
         self.sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
         self.begins = np.cumsum(self.sizes) - self.sizes
         total = int(self.sizes.sum())
-        flat = (h for words in self.words for h in map(_word_hashes.__getitem__, words))
+        flat = map(_word_hashes.__getitem__, chain.from_iterable(self.words))
         self.hashes = np.fromiter(flat, np.uint64, total)
 
     def starts(self, width: int) -> np.ndarray:
