@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from helpers import SUNDAY, forecasts, history, panel
 from weekloom.forecasters import boosted as bo
 from weekloom.forecasters.additive import fc_additive
-from weekloom.forecasters.arima import fc_arima, fit_arima
+from weekloom.forecasters.arima import fc_arima, fit_arima, stable_lags
 from weekloom.forecasters.gram import gram_by_group, gram_matrix, gram_sums
 from weekloom.forecasters.recurrent import fc_recurrent
 from weekloom.forecasters.registry import FORECASTERS
@@ -26,6 +27,7 @@ from weekloom.params import (
     Settings,
 )
 from weekloom.plans.training import cv_run, train_run
+from weekloom.session import checkpoint_root
 from weekloom.sources import runs as rn
 
 N = 160
@@ -44,13 +46,38 @@ def truth_after(n: int) -> np.ndarray:
 def test_gram_sums_agree_with_numpy(spark):
     x = np.random.default_rng(1).normal(size=(50, 3))
     df = spark.createDataFrame([(i % 2, [float(v) for v in row]) for i, row in enumerate(x)], "k int, z array<double>")
-    for grams in (gram_matrix(df, ("k",), "z", 3), gram_by_group(df, ("k",), "z")):
+    for grams in (gram_matrix(df, ("k",), "z", 3), gram_by_group(df, ("k",), "z", 3)):
         for r in grams.collect():
             part = x[r.k :: 2]
             np.testing.assert_allclose(np.array(r.gram).reshape(3, 3), part.T @ part)
     assert gram_sums(df, ("k",), "z", 3).count() == 2 * 6
 
 
+def test_gram_refuses_values_that_are_not_finite(spark):
+    """Such a row would silently take the sums of its whole task with it."""
+    good = F.array(F.lit(1.0), F.lit(2.0))
+    df = spark.range(0, 4000, 1, 4).select(F.lit(1).alias("k"), good.alias("z"))
+    assert gram_matrix(df, ("k",), "z", 2).first().gram == [4000.0, 8000.0, 8000.0, 16000.0]
+    bad = spark.range(0, 4000, 1, 4).select(
+        F.lit(1).alias("k"), F.when(F.col("id") == 17, F.array(F.lit(1.0), F.lit(float("nan")))).otherwise(good).alias("z")
+    )
+    with pytest.raises(Exception, match="not finite"):
+        gram_matrix(bad, ("k",), "z", 2).collect()
+    assert gram_by_group(bad, ("k",), "z", 2).first().gram is None
+
+
+@pytest.mark.parametrize("name", MODEL_ORDER)
+def test_a_series_without_values_leaves_the_others_alone(spark, name):
+    clean = {f"s{i}": yearly(N, 0.5, seed=i) for i in range(3)}
+    settings = Settings(models=ModelParams(boosted=QUICK), features=FEW)
+    want = forecasts(FORECASTERS[name](history(spark, clean), 8, settings))
+    got = forecasts(FORECASTERS[name](history(spark, clean | {"empty": [None] * N}), 8, settings))
+    assert all(v is None for v in got.pop("empty", []))
+    assert set(got) == set(want) == set(clean)
+    for s in clean:
+        np.testing.assert_allclose(got[s], want[s], rtol=1e-6)
+
+
 def test_gram_sums_of_many_groups_are_whole(spark):
     """More groups than a task holds at a time, each spread over the whole input."""
     df = spark.range(0, 6000, 1, 2).select((F.col("id") % 1500).alias("k"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("z"))
@@ -120,7 +147,28 @@ def test_arima_short_and_constant_series(spark):
     got = {r.series_id: r.yhat for r in fit_arima(rows, 8).collect()}
     assert got["short"] is None
     np.testing.assert_allclose(got["flat"], [5.0] * 8, atol=1e-6)
-    assert forecasts(fc_arima(rows, 8)).keys() == {"flat"}
+    given = forecasts(fc_arima(rows, 8))
+    assert given["short"] == [None] * 8 and None not in given["flat"]
+
+
+def test_arima_uses_all_weeks_of_the_chosen_order(spark):
+    p = ArimaParams(max_P=0, max_Q=0)
+    short = fit_arima(history(spark, {"a": yearly(104, 3.0)}), 8, p).first()
+    assert short.n_rows >= 90 and short.error is None
+    fitted = fit_arima(history(spark, {"a": yearly(104, 3.0), "b": yearly(60, 3.0)}), 8).collect()
+    assert {r.series_id: r.seasonal for r in fitted} == {"a": True, "b": False}
+
+
+def test_arima_stability_is_that_of_the_whole_polynomial():
+    assert stable_lags(np.array([0.7]), [1]) and stable_lags(np.array([0.7]), [52])
+    assert not stable_lags(np.array([0.7, 0.7]), [1, 52])
+    assert stable_lags(np.array([1.2, -0.5]), [1, 2]) and stable_lags(np.array([]), [])
+    assert not stable_lags(np.array([1.2]), [1])
+
+
+def test_arima_gives_the_reason_of_a_failure(spark):
+    rows = fc_arima(history(spark, {"a": yearly(10)}), 8).collect()
+    assert [r.h for r in rows] == list(range(1, 9)) and all(r.yhat is None and "too few" in r.error for r in rows)
 
 
 def test_arima_non_seasonal_orders_only(spark):
@@ -184,14 +232,22 @@ def test_tuning_prefers_trees_that_learn(spark, on_test):
 def test_shapley_values_add_up(spark):
     rows = bo.direct_rows(history(spark, {"a": yearly(N, 2.0), "b": yearly(N, 2.0, seed=8)}), 1, FEW)
     model = bo.fit_first_week(rows, QUICK, FEW, 0)
-    values = bo.explain_boosted(model, rows.targets, ("series_id", "t"), FEW, permutations=3, background_rows=1)
-    per_row = values.groupBy("series_id", "t").agg(F.sum("shapley").alias("total"), F.count("*").alias("n"))
+    values = bo.explain_boosted(model, rows.targets, ("series_id", "t"), FEW, permutations=3)
+    per_row = values.groupBy("series_id", "t").agg(
+        F.sum("shapley").alias("total"), F.count("*").alias("n"), F.first("prediction").alias("fx"), F.first("base").alias("fb")
+    )
     scored = model.transform(bo._assembler(FEW, True).transform(rows.targets))
-    joined = scored.join(per_row, ["series_id", "t"]).select("yhat", "total", "n").toPandas()
-    # With one background row every total is the prediction less the same number.
-    base = joined.yhat - joined.total
+    joined = scored.join(per_row, ["series_id", "t"]).select("yhat", "total", "n", "fx", "fb").toPandas()
     assert len(joined) == rows.targets.count() and set(joined.n) == {len(bo.feature_names(FEW))}
-    np.testing.assert_allclose(base, base.iloc[0], atol=1e-9)
+    np.testing.assert_allclose(joined.fx, joined.yhat, atol=1e-9)
+    np.testing.assert_allclose(joined.total, joined.fx - joined.fb, atol=1e-9)
+    # Backgrounds come from all rows, so they differ from row to row.
+    assert joined.fb.nunique() > 20
+
+
+def test_dense_numbers(spark):
+    rows, n = bo.numbered(spark.range(0, 1000, 1, 7).where("id % 3 > 0"))
+    assert n == 666 and sorted(r["_id"] for r in rows.select("_id").collect()) == list(range(n))
 
 
 def test_one_failing_forecaster_does_not_stop_the_others(spark, monkeypatch):
@@ -209,7 +265,7 @@ def test_whole_run_is_stored_and_read_back(spark, tmp_path):
     days = [date(2020, 1, 1) + timedelta(days=3 * i) for i in range(400)]
     rng = np.random.default_rng(2)
     rows = [(s, d, float(100 + 10 * np.sin(i / 17) + rng.normal()), "c") for s in ("Ohio", "Iowa") for i, d in enumerate(days)]
-    rows += [("Tiny", days[0], 1.0, "c")]
+    rows += [("Tiny", days[0], 1.0, "c")] + [("Empty", d, None, "c") for d in days]
     sales = spark.createDataFrame(rows, "series_id string, ds date, value double, category string")
     settings = Settings(
         cv=FoldParams(max_folds=3), features=FEW, models=ModelParams(boosted=QUICK)
@@ -223,7 +279,15 @@ def test_whole_run_is_stored_and_read_back(spark, tmp_path):
     last = max(d for d in days)
     assert min(r.ds for r in found) > last and {r.h for r in found} == set(range(1, 9))
     skipped = rn.read_run(spark, root, "skipped", "v20240101_000000").collect()
-    assert [r.series_id for r in skipped] == ["Tiny"]
-    assert spark.read.parquet(f"{root}/runs").first().n_series == 3
+    assert {r.series_id: r.error for r in skipped}["Empty"] == "series has no values"
+    assert {r.series_id for r in skipped} == {"Tiny", "Empty"}
+    assert spark.read.parquet(f"{root}/runs").first().n_series == 4
+    version = "v20240101_000000"
+    summary = {r.series_id: r for r in rn.read_run(spark, root, "summary", version).collect()}
+    assert set(summary) == {"Ohio", "Iowa", "Tiny", "Empty"} and summary["Ohio"].selected
+    assert rn.read_run(spark, root, "metadata", version).count() == 2
+    assert [r.series_id for r in rn.read_run(spark, root, "unfilled", version).collect()] == ["Empty"]
+    assert "error" in rn.read_run(spark, root, "cv_scores", version).columns
+    assert not glob.glob(f"{checkpoint_root(spark)}/weekloom/stage-*/panel*")
     with pytest.raises(ValueError, match="unknown series"):
         train_run(sales, root, "v20240102_000000", at, settings, names=["Ohio", "Utah"], models=("additive",))

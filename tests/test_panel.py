@@ -127,3 +127,11 @@ def test_panel_agrees_with_pandas(spark, raw):
         assert list(pd.to_datetime(mine.week_end)) == list(y.index)
         np.testing.assert_allclose(mine.y.to_numpy(float), y.to_numpy(float), rtol=1e-9, atol=1e-9)
         assert list(mine.t) == list(range(len(y)))
+
+
+def test_all_folds_and_series_without_values(spark):
+    p = panel(spark, {"n256": [1.0] * 256, "none": [None] * 256})
+    folds = fd.walk_forward_folds(p, FoldParams(max_folds=None))
+    assert {r.series_id for r in folds.select("series_id").distinct().collect()} == {"n256"}
+    assert folds.select("fold").distinct().count() == (256 - 112) // 4 + 1
+    assert [(r.series_id, r.error) for r in fd.skipped_series(p).collect()] == [("none", "series has no values")]

@@ -22,7 +22,8 @@ def _int_floor(numerator: Column, divisor: int) -> Column:
 
 def fold_count(n_weeks: Column, p: FoldParams) -> Column:
     spare = n_weeks - (p.initial_train_weeks + p.horizon)
-    return F.when(spare < 0, 0).otherwise(F.least(F.lit(p.max_folds), _int_floor(spare, p.step) + 1))
+    most = _int_floor(spare, p.step) + 1
+    return F.when(spare < 0, 0).otherwise(most if p.max_folds is None else F.least(F.lit(p.max_folds), most))
 
 
 def _first_split(n_weeks: Column, n_folds: Column, p: FoldParams) -> Column:
@@ -40,13 +41,16 @@ def with_fold_count(panel: DataFrame, p: FoldParams = FoldParams()) -> DataFrame
 def walk_forward_folds(panel: DataFrame, p: FoldParams = FoldParams()) -> DataFrame:
     """Expanding train rows and the next ``horizon`` test rows of each fold of each series.
 
-    Series with fewer than ``min_folds`` folds are absent; ``skipped_series`` lists them.
+    Series with fewer than ``min_folds`` folds and series without any value are absent;
+    ``skipped_series`` lists them.
     """
     t, n_folds = F.col("t"), F.col("n_folds")
     base = _first_split(F.col("n_weeks"), n_folds, p)
     # Fold f tests [base + f*step, base + f*step + horizon) and trains on everything before.
     lowest = F.greatest(F.lit(0), _int_floor(t - base - p.horizon, p.step) + 1)
-    usable = with_fold_count(panel, p).where(n_folds >= p.min_folds)
+    n_values = F.count("y").over(Window.partitionBy("series_id"))
+    counted = with_fold_count(panel, p).withColumn("_n_values", n_values)
+    usable = counted.where((n_folds >= p.min_folds) & (F.col("_n_values") > 0))
     member = usable.withColumn("_low", lowest).where(F.col("_low") < n_folds)
     rows = member.withColumn("fold", F.explode(F.sequence("_low", n_folds - 1)))
     role = F.when(t < base + F.col("fold") * p.step, F.lit("train")).otherwise(F.lit("test"))
@@ -54,13 +58,18 @@ def walk_forward_folds(panel: DataFrame, p: FoldParams = FoldParams()) -> DataFr
 
 
 def skipped_series(panel: DataFrame, p: FoldParams = FoldParams()) -> DataFrame:
-    """Series too short for ``min_folds`` folds, with the reason."""
-    counts = panel.groupBy("series_id").agg(F.count("*").cast("int").alias("n_weeks"))
+    """Series too short for ``min_folds`` folds or without any value, with the reason."""
+    counts = panel.groupBy("series_id").agg(
+        F.count("*").cast("int").alias("n_weeks"), F.count("y").alias("_n_values")
+    )
     counted = counts.withColumn("n_folds", fold_count(F.col("n_weeks"), p))
-    reason = F.format_string(
+    short = F.col("n_folds") < p.min_folds
+    length = F.format_string(
         f"series of %d weeks gives %d folds, {p.min_folds} needed", "n_weeks", "n_folds"
     )
-    return counted.where(F.col("n_folds") < p.min_folds).withColumn("error", reason)
+    reason = F.when(short, length).otherwise("series has no values")
+    left_out = counted.where(short | (F.col("_n_values") == 0)).withColumn("error", reason)
+    return left_out.drop("_n_values")
 
 
 def leaking_folds(folds: DataFrame) -> DataFrame:

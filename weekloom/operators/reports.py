@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.metrics import METRICS
-from weekloom.functions.text import format_magnitude, normalized_name
+from weekloom.functions.text import normalized_name
 from weekloom.operators.selection import model_ordinal
 from weekloom.params import MODEL_ORDER
 
 
 def find_series(df: DataFrame, name: str) -> DataFrame:
-    """Rows of one series, whatever the case and outer blanks of the request."""
-    return df.where(normalized_name(F.col("series_id")) == normalized_name(F.lit(name)))
+    """Rows of one series, whatever the case and outer blanks of the request.
+
+    Stored tables carry the normalised name as a column, so that the filter reaches the scan.
+    """
+    key = F.col("series_key") if "series_key" in df.columns else normalized_name(F.col("series_id"))
+    return df.where(key == normalized_name(F.lit(name)))
 
 
 def _per_model(column: str, models: Sequence[str]) -> list[Column]:
@@ -181,9 +185,3 @@ def metrics_leaderboard(scores: DataFrame, weights: DataFrame) -> DataFrame:
         "series_id", "model", "rank", "mean_rmse", F.col("selected").alias("in_ensemble")
     )
     return ranks.join(averages, ["series_id", "model"], "left")
-
-
-def labelled(df: DataFrame, columns: Sequence[str], whole_digits: int = 0) -> DataFrame:
-    """Add a ``<column>_label`` with a short magnitude for each column."""
-    labels = {f"{c}_label": format_magnitude(F.col(c), whole_digits) for c in columns}
-    return df.withColumns(labels)

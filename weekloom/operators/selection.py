@@ -28,7 +28,7 @@ def complete_predictions(
     """Join forecasts ``(series_id, fold, model, h, yhat)`` to the test weeks of every fold.
 
     Each test week emits one row per model, so a model that failed shows as NULL ``yhat`` and the
-    others go on.
+    others go on. Forecasts with an ``error`` column hand its text on.
     """
     test = folds.where(F.col("role") == "test")
     start = F.min("t").over(Window.partitionBy("series_id", "fold"))
@@ -40,18 +40,26 @@ def complete_predictions(
         F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
         F.col("y").alias("y_true"),
     )
-    found = forecasts.select("series_id", "fold", "h", "model", "yhat")
+    reason = [c for c in forecasts.columns if c == "error"]
+    found = forecasts.select("series_id", "fold", "h", "model", "yhat", *reason)
     return grid.join(found, ["series_id", "fold", "h", "model"], "left").select(
-        "series_id", "fold", "h", "ds", "model", "y_true", "yhat"
+        "series_id", "fold", "h", "ds", "model", "y_true", "yhat", *reason
     )
 
 
 def score_forecast(predictions: DataFrame) -> DataFrame:
-    """All four metrics per series, model and fold; NULL where any week has no forecast."""
+    """All four metrics per series, model and fold; NULL where any week has no forecast.
+
+    Predictions with an ``error`` column give the reason of a missing score.
+    """
     whole = F.count("yhat") == F.count("*")
     metrics = all_metrics(F.col("y_true"), F.col("yhat"))
-    scored = predictions.groupBy("series_id", "model", "fold").agg(whole.alias("_whole"), *metrics)
+    reason = [F.max(c).alias("_error") for c in predictions.columns if c == "error"]
+    scored = predictions.groupBy("series_id", "model", "fold").agg(whole.alias("_whole"), *metrics, *reason)
     kept = [F.when(F.col("_whole"), F.col(m)).alias(m) for m in METRICS]
+    if reason:
+        text = F.coalesce("_error", F.lit("too short for the model, or without a finite fit"))
+        kept.append(F.when(F.col("rmse").isNull() | ~F.col("_whole"), text).alias("error"))
     return scored.select("series_id", "model", "fold", *kept)
 
 
@@ -133,9 +141,9 @@ def clip_sampling_params(trials: DataFrame, low: float = 0.3, high: float = 1.0)
 
 
 def check_series(panel: DataFrame, names: Sequence[str]) -> None:
-    """A name that is not in the panel is an error; reads at most one row per name."""
-    wanted = panel.sparkSession.createDataFrame([(n,) for n in names], "series_id string")
-    missing = sorted(r.series_id for r in wanted.join(panel, "series_id", "left_anti").collect())
+    """A name that is not in the panel is an error; the filter on the names reaches the scan."""
+    found = {r.series_id for r in named_series(panel, names).select("series_id").distinct().collect()}
+    missing = sorted(set(names) - found)
     if missing:
         raise ValueError(f"unknown series: {missing}")
 

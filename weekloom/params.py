@@ -74,14 +74,18 @@ class FoldParams:
     initial_train_weeks: int = 104
     horizon: int = 8
     step: int = 4
-    max_folds: int = 5
+    # None tests every fold the series is long enough for.
+    max_folds: int | None = 5
     min_folds: int = 3
     anchor: str = "start"
 
     def __post_init__(self):
         for name in ("initial_train_weeks", "horizon", "step", "max_folds", "min_folds"):
-            if getattr(self, name) <= 0:
-                raise ValueError(f"{name} must be positive, got {getattr(self, name)}")
+            value = getattr(self, name)
+            if value is None and name == "max_folds":
+                continue
+            if value <= 0:
+                raise ValueError(f"{name} must be positive, got {value}")
         if self.anchor not in ("start", "end"):
             raise ValueError(f"anchor must be 'start' or 'end', got {self.anchor!r}")
 
@@ -93,7 +97,11 @@ class ArimaParams:
     max_p: int = 3
     max_q: int = 2
     max_d: int = 2
+    max_P: int = 1
+    max_Q: int = 1
     long_ar: int = 8
+    # Weeks wanted behind the longest lag before seasonal orders are tried.
+    seasonal_rows: int = 12
     kpss_critical: float = 0.463
 
 

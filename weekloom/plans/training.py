@@ -23,18 +23,20 @@ from weekloom.operators.folds import (
     training_rows,
     walk_forward_folds,
 )
-from weekloom.operators.panel import iqr_cap, prepare_panel
+from weekloom.operators.panel import impute_residual_check, iqr_cap, prepare_panel
 from weekloom.operators.selection import (
     check_series,
     complete_predictions,
+    fold0_overfit_check,
     named_series,
+    run_summary,
     score_forecast,
     unusable_series,
     weigh_models,
 )
 from weekloom.params import MODEL_ORDER, Settings
-from weekloom.session import write_table
-from weekloom.sources.runs import append_manifest, write_run
+from weekloom.session import stage_folder, write_table
+from weekloom.sources.runs import append_manifest, run_metadata, write_run
 
 # Forecasters that learn each series on its own; the others pool all series.
 LOCAL_MODELS = ("arima", "additive")
@@ -43,14 +45,15 @@ LOCAL_MODELS = ("arima", "additive")
 def forecast_all(
     train: DataFrame, horizon: int, settings: Settings, models: Sequence[str] = MODEL_ORDER
 ) -> DataFrame:
-    """``(series_id, fold, h, model, yhat)`` of all models."""
-    parts = [
-        FORECASTERS[m](train, horizon, settings).withColumn("model", F.lit(m)) for m in models
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("series_id", "fold", F.col("h").cast("int").alias("h"), "model", "yhat")
+    """``(series_id, fold, h, model, yhat, error)`` of all models; a model may leave ``error`` out."""
+    whole = None
+    for m in models:
+        part = FORECASTERS[m](train, horizon, settings).withColumn("model", F.lit(m))
+        if "error" not in part.columns:
+            part = part.withColumn("error", F.lit(None).cast("string"))
+        part = part.select("series_id", "fold", F.col("h").cast("int").alias("h"), "model", "yhat", "error")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
 
 
 def cv_run(
@@ -78,12 +81,16 @@ def refit_full(
     parts = []
     for m in models:
         mine = chosen.where(F.col("model") == m).select("series_id")
+        if m not in LOCAL_MODELS and not mine.take(1):
+            continue  # a pooled model that no series selected is not worth a fit
         train = history.join(mine, "series_id", "left_semi") if m in LOCAL_MODELS else history
         forecast = forecast_all(train, horizon, settings, (m,))
         parts.append(forecast.join(mine, "series_id", "left_semi") if m not in LOCAL_MODELS else forecast)
-    whole = parts[0]
+    if not parts:
+        parts = [forecast_all(history.limit(0), horizon, settings, LOCAL_MODELS[:1])]
+    whole = parts[0].where("yhat IS NOT NULL")
     for part in parts[1:]:
-        whole = whole.unionByName(part)
+        whole = whole.unionByName(part.where("yhat IS NOT NULL"))
     weeks = future_calendar(panel, horizon)
     return whole.join(weeks, ["series_id", "h"]).select("series_id", "model", "h", "ds", "yhat")
 
@@ -98,35 +105,49 @@ def train_run(
     models: Sequence[str] = MODEL_ORDER,
     tune: bool = False,
 ) -> None:
-    """Sales to a stored run; ``tune`` searches the boosted trees' parameters on fold 0 first."""
+    """Sales to a stored run; ``tune`` searches the boosted trees' parameters on fold 0 first.
+
+    The tables of intermediate stages lie in one folder that is removed at the end.
+    """
+    with stage_folder(sales.sparkSession):
+        _train_run(sales, root, version, created_at, settings, names, models, tune)
+
+
+def _train_run(sales, root, version, created_at, settings, names, models, tune) -> None:
     sales = named_series(sales, names) if names else sales
     by_fold = settings.preprocessing.fit_scope == "fold"
     panel = write_table(prepare_panel(sales, settings.preprocessing, cap=not by_fold), "panel")
     if names:
         check_series(panel, names)
+    unfilled = impute_residual_check(panel)
     folds = walk_forward_folds(panel, settings.cv)
     if by_fold and settings.preprocessing.outlier_strategy == "cap":
         folds = fold_scoped_cap(folds, settings.preprocessing.iqr_multiplier)
         panel = write_table(iqr_cap(panel, settings.preprocessing.iqr_multiplier), "panel-capped")
+    tables = {}
     if tune and "boosted" in models:
         boosted = settings.models.boosted
-        best = best_params(tune_boosted(folds, settings.cv.horizon, boosted, settings.features), boosted)
-        settings = replace(settings, models=replace(settings.models, boosted=best))
+        trials = tune_boosted(folds, settings.cv.horizon, boosted, settings.features)
+        tables["tuning"] = trials
+        settings = replace(settings, models=replace(settings.models, boosted=best_params(trials, boosted)))
     predictions = write_table(cv_run(folds, settings, models), "cv-predictions")
-    scores = score_forecast(predictions)
+    scores = write_table(score_forecast(predictions), "cv-scores")
     weights = write_table(weigh_models(scores, settings.ensemble, models), "weights")
     skipped = skipped_series(panel, settings.cv).unionByName(
         unusable_series(weights), allowMissingColumns=True
     )
-    write_run(
-        root,
-        version,
-        {
-            "weights": weights,
-            "cv_scores": scores.withColumn("error", F.when(F.col("rmse").isNull(), "incomplete forecast")),
-            "cv_predictions": predictions,
-            "forecasts": refit_full(panel, weights, settings, models),
-            "skipped": skipped,
-        },
-    )
+    forecasts = write_table(refit_full(panel, weights, settings, models), "forecasts")
+    tables |= {
+        "weights": weights,
+        "cv_scores": scores,
+        "cv_predictions": predictions,
+        "forecasts": forecasts,
+        "skipped": skipped,
+        "summary": run_summary(weights, skipped, models),
+        "metadata": run_metadata(weights.withColumn("version", F.lit(version))).drop("version"),
+        "unfilled": unfilled,
+    }
+    if "boosted" in models:
+        tables["overfit"] = fold0_overfit_check(scores)
+    write_run(root, version, tables)
     append_manifest(root, version, created_at, panel.agg(F.count_distinct("series_id").alias("n_series")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +56,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
     context = spark.sparkContext
     if not hasattr(context, "_weekloom_checkpoint"):
@@ -62,8 +65,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context._weekloom_checkpoint
 
 
+@contextmanager
+def stage_folder(spark: SparkSession) -> Iterator[str]:
+    """All tables written inside go to one folder, which is removed at the end, also after a failure.
+
+    Nothing lazy that reads such a table may outlive the block.
+    """
+    context = spark.sparkContext
+    outer = getattr(context, "_weekloom_stage", None)
+    folder = f"{outer or checkpoint_root(spark) + '/weekloom'}/stage-{uuid.uuid4().hex}"
+    context._weekloom_stage = folder
+    try:
+        yield folder
+    finally:
+        context._weekloom_stage = outer
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/weekloom/{label}-{uuid.uuid4().hex}"
+    stage = getattr(spark.sparkContext, "_weekloom_stage", None)
+    return f"{stage or checkpoint_root(spark) + '/weekloom'}/{label}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
