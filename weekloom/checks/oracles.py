@@ -173,6 +173,25 @@ SELECT p.series_id, CAST(fold AS INTEGER) AS fold, CASE WHEN t < cut THEN 'train
 FROM {nation_full} p JOIN {fold_table} f ON f.series_id = p.series_id AND p.t < f.cut + 8
 """,
 )
+
+
+def _folds(panel: str, first: int, horizon: int, step_: int, most: int | None, least: int) -> str:
+    """Fold rows of a panel; series without values are not in ``panel``'s capped steps."""
+    limit = f"least({most}, (n - {first + horizon}) // {step_} + 1)" if most else f"(n - {first + horizon}) // {step_} + 1"
+    return f"""
+SELECT p.series_id, CAST(f AS INTEGER) AS fold,
+       CASE WHEN t < {first} + {step_} * f THEN 'train' ELSE 'test' END AS role, week_end, t, y
+FROM {{{panel}}} p
+JOIN (SELECT series_id, unnest(generate_series(0, n_folds - 1)) AS f
+      FROM (SELECT series_id, CASE WHEN n < {first + horizon} THEN 0 ELSE {limit} END AS n_folds
+            FROM (SELECT series_id, count(*) AS n FROM {{{panel}}} GROUP BY 1)) WHERE n_folds >= {least}) c
+  ON c.series_id = p.series_id AND p.t < {first} + {step_} * f + {horizon}
+"""
+
+
+step("short_folds", _folds("nation_panel", 60, 4, 2, 8, 2))
+step("all_folds", _folds("nation_panel", 60, 4, 26, None, 2))
+step("customer_folds", _folds("customer_panel", 104, 8, 4, 5, 3))
 step("train", "SELECT series_id, fold, week_end, t, y FROM {folds} WHERE role = 'train'")
 
 
@@ -467,9 +486,9 @@ def _kpss(x: str) -> str:
     """Level KPSS statistic of ``x`` per series and fold, with a Bartlett window."""
     lags = ", ".join(
         f"greatest(0.0, 1 - {j} / (lim + 1)) * 2 * e * coalesce(lag(e, {j}) OVER w, 0) AS c{j}"
-        for j in range(1, 10)
+        for j in range(1, 13)
     )
-    total = " + ".join(f"c{j}" for j in range(1, 10))
+    total = " + ".join(f"c{j}" for j in range(1, 13))
     return f"""
 SELECT series_id, fold, sum(s * s) / nullif(count(e) * sum(e * e + {total}), 0) AS k
 FROM (SELECT *, sum(e) OVER (w ROWS UNBOUNDED PRECEDING) AS s, {lags}
@@ -489,6 +508,23 @@ step(
 step("kpss_level", _kpss("y"))
 step("kpss_change", _kpss("dy"))
 
+step("eight", "SELECT unnest(generate_series(1, 8)) AS h")
+step(
+    "unit_scaled",
+    """
+SELECT series_id, fold, t, count(*) OVER f AS n, min(y) OVER f AS lo, max(y) OVER f - min(y) OVER f AS width,
+       (y - min(y) OVER f) / (max(y) OVER f - min(y) OVER f) AS s
+FROM {train} WINDOW f AS (PARTITION BY series_id, fold)
+""",
+)
+step(
+    "mean_scaled",
+    """
+SELECT series_id, fold, t, avg(abs(y)) OVER f AS scale, y / avg(abs(y)) OVER f AS s
+FROM {train} WINDOW f AS (PARTITION BY series_id, fold)
+""",
+)
+
 _GRAM_TERMS = ("1.0::DOUBLE", "lag_1", "lag_7", "lag_30", "y")
 step(
     "millions",
@@ -509,7 +545,67 @@ def _fill(order: str) -> str:
 _LINE = "y, CASE WHEN t1 > t0 THEN y0 + (y1 - y0) * (t - t0) / (t1 - t0) END, y0, y1"
 
 BODIES: dict[str, str] = {
-    "scan_sales": "SELECT * FROM {nation_sales}",
+    "fc_recurrent_mean": """
+SELECT series_id, fold, CAST(h AS INTEGER) AS h, round((lo + width * mean) / 1e6, 3) AS yhat
+FROM (SELECT DISTINCT series_id, fold, lo, width FROM {unit_scaled})
+JOIN (SELECT fold, h, avg(s) AS mean FROM {unit_scaled} CROSS JOIN {eight}
+      WHERE t >= 51 + h AND t <= n - 9 + h GROUP BY 1, 2) USING (fold)
+""",
+    "fc_boosted_mean": """
+SELECT series_id, fold, CAST(h AS INTEGER) AS h, round(mean * scale / 1e6, 3) AS yhat
+FROM (SELECT DISTINCT series_id, fold, scale FROM {mean_scaled})
+JOIN (SELECT fold, avg(s) AS mean FROM {mean_scaled} CROSS JOIN {eight} WHERE t >= 30 + h GROUP BY 1) USING (fold)
+CROSS JOIN {eight}
+""",
+    "scan_sales": """
+SELECT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS DATE) AS ds, o_totalprice AS value,
+       o_orderpriority AS category FROM orders
+""",
+    "validate_columns": "SELECT o_orderpriority, count(*) AS n_rows FROM orders GROUP BY 1",
+    "fold_param_override": f"SELECT {_FOLD_COLUMNS} FROM {{short_folds}}",
+    "fold_param_all": f"SELECT {_FOLD_COLUMNS} FROM {{all_folds}}",
+    "skipped_customers": """
+SELECT series_id, n_weeks, n_folds,
+       CASE WHEN n_folds < 3 THEN printf('series of %d weeks gives %d folds, 3 needed', n_weeks, n_folds)
+            ELSE 'series has no values' END AS error
+FROM (SELECT series_id, CAST(n AS INTEGER) AS n_weeks, v,
+             CAST(CASE WHEN n < 112 THEN 0 ELSE least(5, (n - 112) // 4 + 1) END AS INTEGER) AS n_folds
+      FROM (SELECT series_id, count(*) AS n, count(y) AS v FROM {customer_full} GROUP BY 1))
+WHERE n_folds < 3 OR v = 0
+""",
+    "cv_run_customers": """
+SELECT series_id, fold, CAST(t - 104 - 4 * fold + 1 AS INTEGER) AS h, week_end AS ds, model,
+       round(y * 0.9137254901::DOUBLE, 4) AS y_true
+FROM {customer_folds} CROSS JOIN (VALUES ('arima'), ('additive'), ('boosted'), ('recurrent')) m(model)
+WHERE role = 'test'
+""",
+    "train_run_weights": """
+SELECT series_id, CAST(4 AS BIGINT) AS n_models, 1.0::DOUBLE AS total, CAST(4 AS BIGINT) AS n_same
+FROM (SELECT DISTINCT series_id FROM {customer_folds})
+""",
+    "explain_efficiency": """
+SELECT series_id, t, CAST(20 AS BIGINT) AS n_features, 0.0::DOUBLE AS left_over
+FROM (SELECT series_id, t, max(t) OVER (PARTITION BY series_id) AS last FROM {nation_panel})
+WHERE t >= 30 AND t < last
+""",
+    "fc_additive_line": """
+SELECT series_id, fold, CAST(h AS INTEGER) AS h, round((a + b * (n - 1 + h)) / 1e6, 3) AS yhat
+FROM (SELECT series_id, fold, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(t) + 1 AS n
+      FROM {train} GROUP BY 1, 2) CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS h)
+""",
+    "fc_arima_one_lag": """
+SELECT series_id, fold, CAST(h AS INTEGER) AS h, round((m + sd * CASE
+         WHEN n1 * ln(rss1 / n1) + 6 < n1 * ln(rss0 / n1) + 4 AND abs(b) < 0.999
+         THEN pow(b, h) * z_last + a * (1 - pow(b, h)) / (1 - b) ELSE 0 END) / 1e6, 3) AS yhat
+FROM (SELECT series_id, fold, max(m) AS m, max(sd) AS sd, arg_max(z, t) AS z_last, count(z0) AS n1,
+             regr_slope(z, z0) AS b, regr_intercept(z, z0) AS a, regr_syy(z, z0) AS rss0,
+             regr_syy(z, z0) - regr_sxy(z, z0) * regr_sxy(z, z0) / regr_sxx(z, z0) AS rss1
+      FROM (SELECT *, lag(z) OVER (PARTITION BY series_id, fold ORDER BY t) AS z0
+            FROM (SELECT series_id, fold, t, avg(y) OVER f AS m, stddev_samp(y) OVER f AS sd,
+                         (y - avg(y) OVER f) / stddev_samp(y) OVER f AS z
+                  FROM {train} WINDOW f AS (PARTITION BY series_id, fold)))
+      GROUP BY 1, 2) CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS h)
+""",
     "parse_mixed_dates": """
 SELECT o_orderkey, raw_date, coalesce(
          CAST(try_strptime(raw_date, '%d-%m-%Y') AS DATE),
@@ -704,13 +800,14 @@ SELECT 'v20240101_000000' AS version, series_id,
 FROM {weights} GROUP BY series_id
 """,
     "run_manifest": """
-SELECT version, n_series, version AS created_at,
-       version = (SELECT max(version) FROM {event_runs}) AS is_current FROM {event_runs}
+WITH made AS (SELECT 'v' || user_id AS version, max(ts) AS made_at, count(DISTINCT event_type) AS n_series
+              FROM events GROUP BY user_id)
+SELECT version, n_series, epoch_us(made_at) AS created_at,
+       version = (SELECT version FROM made ORDER BY made_at DESC, version DESC LIMIT 1) AS is_current FROM made
 """,
     "latest_version": """
-SELECT version FROM {event_runs}
-WHERE version IN (SELECT 'v' || strftime(ts, '%Y%m%d_%H%M%S') FROM events WHERE event_type = 'purchase')
-ORDER BY created_at DESC, version DESC LIMIT 1
+SELECT 'v' || strftime(max(o_orderdate), '%Y%m%d_%H%M%S') AS version
+FROM orders WHERE o_orderdate IN (SELECT l_shipdate FROM lineitem)
 """,
     "list_series": "SELECT DISTINCT series_id FROM {weights} ORDER BY 1",
     "model_staleness": """
@@ -771,15 +868,14 @@ QUALIFY row_number() OVER (PARTITION BY series_id, metric ORDER BY value, {_ORDI
 SELECT series_id, model, rank, round(mean_rmse, 4) AS mean_rmse, selected AS in_ensemble, {_SCORE_COLUMNS}
 FROM {{weights}} JOIN {{averages}} USING (series_id, model)
 """,
-    "write_run": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {{{step_}}}"
-        for name, step_ in (
-            ("weights", "weights"),
-            ("cv_scores", "scores"),
-            ("cv_predictions", "predictions"),
-            ("forecasts", "forecasts"),
-        )
-    ),
+    "write_run": """
+SELECT 'weights' AS table_name, series_id, model, CAST(rank AS INTEGER) AS at, CAST(NULL AS INTEGER) AS h,
+       round(mean_rmse, 3) AS first, round(weight, 5) AS second FROM {weights}
+UNION ALL SELECT 'cv_scores', series_id, model, CAST(fold AS INTEGER), NULL, round(rmse, 3), round(mae, 5) FROM {scores}
+UNION ALL SELECT 'cv_predictions', series_id, model, CAST(fold AS INTEGER), CAST(h AS INTEGER), round(y_true, 3), round(yhat, 5)
+FROM {predictions}
+UNION ALL SELECT 'forecasts', series_id, model, NULL, CAST(h AS INTEGER), round(yhat, 3), NULL FROM {forecasts}
+""",
     "read_run": f"SELECT {_WEIGHT_COLUMNS} FROM {{weights}} WHERE series_id = 'NATION_4'",
     "arima_differencing": """
 SELECT series_id, fold, round(a.k, 6) AS k0, round(b.k, 6) AS k1,

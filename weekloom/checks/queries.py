@@ -32,7 +32,11 @@ from weekloom.params import (
     EnsembleParams,
     FoldParams,
     ModelParams,
+    AdditiveParams,
+    ArimaParams,
     PanelParams,
+    RecurrentParams,
+    SalesColumns,
     Settings,
 )
 from weekloom.plans import training as tr
@@ -114,7 +118,17 @@ def _forecasts(spark, d):
 
 @query
 def scan_sales(spark, d):
-    return od.nation_sales(spark, d)
+    """The stored orders as raw sales of customers; the columns are checked on the way."""
+    columns = SalesColumns("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    return so.scan_sales(spark, f"{d}/orders.parquet", columns)
+
+
+@query
+def validate_columns(spark, d):
+    """The stored orders pass with the columns they have; the names found come back."""
+    orders = so.read_raw(spark, f"{d}/orders.parquet")
+    checked = so.validate_columns(orders, ("o_custkey", "o_orderdate", "o_totalprice"))
+    return checked.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
@@ -234,6 +248,27 @@ def fold_min_guard(spark, d):
     return fd.skipped_series(pn.prepare_panel(od.event_sales(spark, d), MONEY))
 
 
+@query
+def fold_param_override(spark, d):
+    return fd.walk_forward_folds(_nation_panel(spark, d), FoldParams(60, 4, 2, 8, 2))
+
+
+@query
+def fold_param_all(spark, d):
+    """Every fold the series are long enough for."""
+    return fd.walk_forward_folds(_nation_panel(spark, d), FoldParams(60, 4, 26, None, 2))
+
+
+def _customer_panel(spark, d):
+    """Series of customers: many, short and long ones, some without any value."""
+    return pn.prepare_panel(od.customer_sales(spark, d), MONEY)
+
+
+@query
+def skipped_customers(spark, d):
+    return fd.skipped_series(_customer_panel(spark, d))
+
+
 @query
 def fold_leakage_check(spark, d):
     return fd.leaking_folds(_nation_folds(spark, d))
@@ -540,18 +575,25 @@ def run_metadata(spark, d):
 
 @query
 def run_manifest(spark, d):
-    return rn.run_manifest(_event_runs(spark, d).drop("created_at").withColumn(
-        "created_at", F.col("version")))
+    """Users as versions, made at their newest event: the order of names is not that of times."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    runs = events.groupBy(F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("version")).agg(
+        F.max("ts").cast("timestamp").alias("created_at"), F.count_distinct("event_type").alias("n_series")
+    )
+    listed = rn.run_manifest(runs)
+    return listed.withColumn("created_at", F.unix_micros("created_at"))
 
 
 @query
 def latest_version(spark, d):
-    """Runs of purchases only have tables: the newest of those is current."""
-    events = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
-    stored = events.select(
-        F.concat(F.lit("v"), F.date_format("ts", "yyyyMMdd_HHmmss")).alias("version")
-    )
-    return rn.latest_version(_event_runs(spark, d), stored)
+    """Days of orders are runs, days of shipping have stored tables: the newest day with both is current."""
+
+    def version(column):
+        return F.concat(F.lit("v"), F.date_format(column, "yyyyMMdd_HHmmss")).alias("version")
+
+    orders, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem"))
+    runs = orders.groupBy(version("o_orderdate")).agg(F.max("o_orderdate").cast("timestamp").alias("created_at"))
+    return rn.latest_version(runs, lines.select(version("l_shipdate")))
 
 
 @query
@@ -692,14 +734,22 @@ def _stored(spark, d) -> str:
 
 @query
 def write_run(spark, d):
+    """All rows of the four stored tables, read back, with the values each has."""
     root = _stored(spark, d)
-    counts = None
-    for table in ("weights", "cv_scores", "cv_predictions", "forecasts"):
-        part = rn.read_run(spark, root, table, VERSION).agg(
-            F.lit(table).alias("table_name"), F.count("*").alias("n_rows")
-        )
-        counts = part if counts is None else counts.unionByName(part)
-    return counts
+    parts = {
+        "weights": (F.col("rank").cast("int"), F.lit(None).cast("int"), F.col("mean_rmse"), F.col("weight")),
+        "cv_scores": (F.col("fold"), F.lit(None).cast("int"), F.col("rmse"), F.col("mae")),
+        "cv_predictions": (F.col("fold"), F.col("h"), F.col("y_true"), F.col("yhat")),
+        "forecasts": (F.lit(None).cast("int"), F.col("h"), F.col("yhat"), F.lit(None).cast("double")),
+    }
+    whole = None
+    for table, (at, h, first, second) in parts.items():
+        rows = rn.read_run(spark, root, table, VERSION).select(
+            F.lit(table).alias("table_name"), "series_id", "model", at.cast("int").alias("at"),
+            h.cast("int").alias("h"), F.round(first, 3).alias("first"), F.round(second, 5).alias("second"),
+        )
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
 
 
 @query
@@ -802,3 +852,78 @@ def train_run(spark, d):
     forecasts = rn.read_run(spark, root, "forecasts", VERSION)
     weights = rn.read_run(spark, root, "weights", VERSION)
     return rp.forecast_bands(rp.ensemble_forecast(forecasts, weights))
+
+
+# -- forecasters whose answer has a closed form -----------------------------------------------
+
+
+def _in_millions(forecast: DataFrame) -> DataFrame:
+    """Numerical solvers and sums of squares differ in the last digits of large amounts."""
+    return forecast.select("series_id", "fold", F.col("h").cast("int").alias("h"), F.round(F.col("yhat") / 1e6, 3).alias("yhat"))
+
+
+@query
+def fc_arima_one_lag(spark, d):
+    """At most one lag and no differencing: least squares on the week before, or the mean."""
+    p = ArimaParams(seasonal=False, max_p=1, max_q=0, max_d=0)
+    return _in_millions(arima_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
+
+
+@query
+def fc_additive_line(spark, d):
+    """Neither changepoints nor seasons nor penalties: the least-squares line over time."""
+    p = AdditiveParams(yearly_seasonality=False, holidays=False, changepoints=0, trend_penalty=0.0)
+    return _in_millions(additive_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
+
+
+@query
+def fc_recurrent_mean(spark, d):
+    """So strong a ridge that only the intercepts are left: the mean scaled target of all windows."""
+    p = RecurrentParams(ridge_grid=(1e15,))
+    return _in_millions(recurrent_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
+
+
+@query
+def fc_boosted_mean(spark, d):
+    """A tree without splits: the mean of the pooled scaled targets, in the scale of the series."""
+    p = BoostedParams(n_estimators=1, max_depth=0, subsample=1.0, colsample=1.0, per_horizon=False)
+    return _in_millions(boosted_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
+
+
+@query
+def explain_efficiency(spark, d):
+    """What the Shapley values of a week leave of its prediction less the mean of its background."""
+    history = fd.full_history(_nation_panel(spark, d))
+    rows = direct_rows(history, 1, FEATURES)
+    model = fit_first_week(rows, replace(QUICK, per_horizon=True), FEATURES, fd.REFIT_FOLD)
+    explained = explain_trees(model, rows.targets, ("series_id", "t"), FEATURES, permutations=1)
+    left = F.sum("shapley") - (F.first("prediction") - F.first("base"))
+    sums = explained.groupBy("series_id", "t").agg(F.count(F.lit(1)).alias("n_features"), (F.round(left, 6) + 0.0).alias("left_over"))
+    return sums.withColumn("left_over", F.abs("left_over"))
+
+
+@query
+def cv_run_customers(spark, d):
+    """The forecasters on the customers, some of them without any value: every test week of every model."""
+    panel = write_table(_customer_panel(spark, d), "panel")
+    rows = tr.cv_run(fd.walk_forward_folds(panel), QUICK_SETTINGS)
+    # In another currency, as imputed values may be exact halves of the last digit.
+    return rounded(rows.select("series_id", "fold", "h", "ds", "model", (F.col("y_true") * RATE).alias("y_true")))
+
+
+@query
+def train_run_weights(spark, d):
+    """Of a stored run of customers: ranks, choices and weights agree with the stored predictions."""
+    root = new_table_path(spark, "run")
+    tr.train_run(od.customer_sales(spark, d), root, VERSION, NOW, QUICK_SETTINGS)
+    stored = rn.read_run(spark, root, "weights", VERSION).drop("version")
+    again = sl.weigh_models(sl.score_forecast(rn.read_run(spark, root, "cv_predictions", VERSION)))
+    same = stored.join(
+        again.select("series_id", "model", F.col("rank").alias("r"), F.col("weight").alias("w")), ["series_id", "model"]
+    )
+    weight = F.col("weight")
+    return same.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_models"),
+        F.round(F.sum(weight), 6).alias("total"),
+        F.count_if((F.col("rank") == F.col("r")) & (F.coalesce(F.abs(weight - F.col("w")), F.lit(0.0)) < 1e-9)).alias("n_same"),
+    )
