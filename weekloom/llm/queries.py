@@ -76,6 +76,56 @@ def op9_license_scan(spark, d):
     return licenses.scan_licenses(_table(spark, d, "documents"))
 
 
+def _license_sql() -> str:
+    """The phrases as rows of words that follow each other, the templates as sets of words."""
+    folded = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = r"string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    def stands(phrase: str) -> str:
+        return " AND ".join(f"w{k} = '{w}'" for k, w in enumerate(phrase.split()))
+
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, p, '{label}' AS label FROM ahead WHERE {stands(phrase)}" for phrase, label in licenses.PHRASES
+    )
+    templates = ", ".join(
+        f"({number}, '{label}', '{word.decode()}')"
+        for number, (label, text) in enumerate(licenses.TEMPLATES)
+        for word in sorted(set(licenses._words(text.encode())))
+    )
+    leads = ", ".join(f"lead(word, {k}) OVER d AS w{k}" for k in range(4))
+    return f"""
+WITH folded AS (SELECT doc_id, {folded} AS text FROM documents),
+     words AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p
+               FROM (SELECT doc_id, unnest(parts) AS word, generate_subscripts(parts, 1) AS i
+                     FROM (SELECT doc_id, {split.format("text")} AS parts FROM folded)) WHERE word <> ''),
+     ahead AS (SELECT doc_id, p, {leads} FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+     places AS ({phrases}),
+     base AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
+     lines AS (SELECT doc_id, i, list_filter({split.format("line")}, lambda w: w <> '') AS words
+               FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+                     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM folded))),
+     numbered AS (SELECT *, sum(CASE WHEN len(words) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS par
+                  FROM lines),
+     blocks AS (SELECT DISTINCT doc_id, 'l' || i AS block, unnest(words) AS word FROM numbered
+                UNION SELECT DISTINCT doc_id, 'p' || par, unnest(words) FROM numbered),
+     templates AS (SELECT t, label, word, count(*) OVER (PARTITION BY t) AS n
+                   FROM (VALUES {templates}) v(t, label, word)),
+     matches AS (SELECT doc_id, label, count(*) / n AS share FROM blocks JOIN templates USING (word)
+                 GROUP BY doc_id, block, t, label, n HAVING count(*) >= {licenses.CONTAINMENT} * n - 1e-9),
+     every AS (SELECT doc_id, label, NULL AS share FROM places UNION ALL SELECT * FROM matches),
+     found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
+               FROM every GROUP BY 1),
+     sizes AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+SQL["op9_license_scan"] = _license_sql()
+
+
 @query
 def op10_language_id(spark, d):
     docs = _table(spark, d, "documents")
@@ -89,6 +139,23 @@ def op6_substring_dedup(spark, d):
     return substring.remove_repeats(_table(spark, d, "documents"), with_text=False).drop("kept")
 
 
+SQL["op6_substring_dedup"] = r"""
+WITH split AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS parts FROM documents),
+     words AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+               FROM (SELECT doc_id, unnest(parts) AS word, generate_subscripts(parts, 1) AS i FROM split)
+               WHERE word <> ''),
+     windows AS (SELECT doc_id, p, string_agg(word, ' ') OVER w AS words, count(*) OVER w AS n FROM words
+                 WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+     repeated AS (SELECT doc_id, p FROM windows WHERE n = 35 QUALIFY count(*) OVER (PARTITION BY words) > 1),
+     gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 34)) AS p FROM repeated),
+     kept AS (SELECT doc_id, count(*) AS n_words, count(g.p) AS n_removed,
+                     string_agg(word, ' ' ORDER BY words.p) FILTER (g.p IS NULL) AS text
+              FROM words LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
 @query
 def op8_cross_polytope(spark, d):
     vectors = _table(spark, d, "embeddings")
