@@ -128,6 +128,8 @@ class BoostedParams:
     per_horizon: bool = True
     n_trials: int = 50
     seed: int = 42
+    # Fits, or trials when tuning, that run side by side.
+    parallelism: int = 4
 
 
 @dataclass(frozen=True)
