@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import WordCache, map_batches, path_exists
+from weekloom.session import write_table
 
 CACHE_SCHEMA = "tokenizer_version string, content_digest string, n_bytes long, n_tokens long"
 _MARK = "▁"
@@ -123,7 +124,10 @@ def count_tokens(
         .agg(F.first("_text").alias("_text"))
     )
     map_batches(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counted = texts.select("_id", "content_digest").join(known(), "content_digest", "left")
+    # A stored table, not an aggregate, on the other side: adaptive execution can then split the rows of
+    # a content that very many documents share.
+    counts = write_table(known(), "token-counts")
+    counted = texts.select("_id", "content_digest").join(counts, "content_digest", "left")
     return counted.select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit")
     )
