@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weekloom.llm.common import byte_texts
+from weekloom.llm.common import byte_texts, slices
 
 SENTENCE_PENALTY = 8
 CLAUSE_PENALTY = 16
 HARD_PENALTY = 256
 # Ids gathered before windows are chosen; a bound on memory, not on documents.
 BLOCK_TOKENS = 1 << 20
-# Words a worker remembers, as ``common.CACHED_WORDS``; a miss costs many times a hit here.
-_HELD_WORDS = 1_000_000
+# Words and units of words a worker remembers; a unit the vocabulary has to encode costs many times a hit.
+_HELD_WORDS = 400_000
+_HELD_UNITS = 600_000
 _SENTENCE_ENDS = (b".", b"!", b"?")
 _CLAUSE_ENDS = (b",", b";", b":")
 _PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
@@ -58,11 +60,11 @@ class WordEncoder:
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
+        self.units: dict[bytes, bytes] = {}  # unsigned 32-bit ids, packed
         self.reset()
 
     def reset(self) -> None:
         self.index = _Numbers()
-        self.units: dict[bytes, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
@@ -74,12 +76,15 @@ class WordEncoder:
         for word in words:
             plain = _PLAIN.fullmatch(word)
             split.append((plain[1].lower(), plain[2]) if plain and plain[2] else (word.lower() if plain else word,))
+        if len(self.units) > _HELD_UNITS:
+            self.units.clear()
         new = list({unit for units in split for unit in units if unit not in self.units})
         encoded = self.tokenizer.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)
-        self.units.update((unit, enc.ids) for unit, enc in zip(new, encoded))
+        self.units.update((unit, array("I", enc.ids).tobytes()) for unit, enc in zip(new, encoded))
         n = len(self.index) - len(words)
-        ids = [i for units in split for unit in units for i in self.units[unit]]
-        lengths = [sum(len(self.units[unit]) for unit in units) for units in split]
+        packed = [b"".join([self.units[unit] for unit in units]) for units in split]
+        ids = np.frombuffer(b"".join(packed), np.uint32)
+        lengths = [len(p) // 4 for p in packed]
         self.flat = _room(self.flat, self.used + len(ids))
         tables = (self.starts, self.lengths, self.prices)
         self.starts, self.lengths, self.prices = (_room(a, len(self.index)) for a in tables)
@@ -260,7 +265,7 @@ def pack_documents(
             columns |= {"sequence_id": pa.array(pieces["sequence"], pa.int64())}
             return pa.record_batch(columns | {"offset": pa.array(pieces["offset"], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column("_id").type
             for key, text in zip(batch.column("_id").to_pylist(), byte_texts(batch.column("_text"))):
                 ids, marks = encode(text)
