@@ -98,7 +98,9 @@ def test_piece_counter_on_marks_and_blanks(text):
     assert counter.by_word and counter(text) == len(counter.model.encode(text))
 
 
-def test_cache_encodes_only_misses(docs, spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_cache_encodes_only_misses(docs, spark, monkeypatch, broadcast):
+    monkeypatch.setattr(tokens, "BROADCAST_DIGESTS", broadcast)
     path = new_table_path(spark, "cache")
     first = tokens.count_tokens(docs, path)
     rows = first.count()

@@ -26,6 +26,8 @@ from weekloom.llm.common import WordCache, map_batches, path_exists
 from weekloom.session import write_table
 
 CACHE_SCHEMA = "tokenizer_version string, content_digest string, n_bytes long, n_tokens long"
+# Missing digests sent to all tasks at most: some 20 MB. More of them are joined after a shuffle.
+BROADCAST_DIGESTS = 200_000
 _MARK = "▁"
 _UNITS = re.compile(f"{_MARK}+[^{_MARK}]*")
 
@@ -116,13 +118,16 @@ def count_tokens(
             }
         )
 
-    # Copies of a text meet in one row per task before anything is shuffled.
-    misses = (
-        texts.select("content_digest", "_text")
-        .join(known().select("content_digest"), "content_digest", "left_anti")
-        .groupBy("content_digest")
-        .agg(F.first("_text").alias("_text"))
-    )
+    digests = texts.select("content_digest").distinct()
+    missing = write_table(digests.join(known().select("content_digest"), "content_digest", "left_anti"), "missing")
+    # Copies of a text become one row per task before anything is shuffled, so the join with the missing
+    # digests comes either before that, as a broadcast of a checked size, or after it.
+    few = missing.count() <= BROADCAST_DIGESTS
+    wanted = texts.select("content_digest", "_text")
+    if few:
+        wanted = wanted.join(F.broadcast(missing), "content_digest", "left_semi")
+    first = wanted.groupBy("content_digest").agg(F.first("_text").alias("_text"))
+    misses = first if few else first.join(missing, "content_digest", "left_semi")
     map_batches(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # A stored table, not an aggregate, on the other side: adaptive execution can then split the rows of
     # a content that very many documents share.
