@@ -362,9 +362,11 @@ def test_language_id_held_out(table):
 
 def test_language_id_cases(spark, docs, no_docs, table):
     model = langid.train(table)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 --"), (4, "the"), (5, "½ ²")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 --"), (4, "the"), (5, "½ ²"), (6, "漢字かな")], "doc_id long, text string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(odd, model).collect()}
     assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 5)) and got[4][0] == "en"
+    assert got[6] == ("en", 0.0)
+    assert {r["doc_id"] for r in langid.keep_identified(odd, model).collect()} == {4}
     nothing = langid.train(no_docs)
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
     assert langid.keep_identified(docs, nothing).columns == docs.columns

@@ -12,9 +12,9 @@ hash of the id (a documented bound: the filters only need the frequent n-grams).
 filter of a language that has it at least ``min_count`` times in the sample. The model has a fixed
 size, ``2^slot_bits`` masks, whatever the corpus, and is what tasks receive.
 
-Cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing was
-learned; a text shorter than an n-gram is one padded n-gram; ties go to the language first in name
-order; repeated rows are predicted alike; an empty table gives an empty result.
+Cases: of more than 64 languages the commonest are learned; a text that is null or has no letter is ``und`` with score 0; so is every text if nothing was
+learned; a text none of whose n-grams any filter has gets the commonest language with score 0; a text
+shorter than an n-gram is one padded n-gram; ties go to the language first in name order; repeated rows are predicted alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ class LanguageModel:
     false_rates: np.ndarray  # per language
     slot_bits: int
     hashes: int
+    usual: int = 0  # number of the language most documents have
 
 
 def grams(text: str) -> np.ndarray:
@@ -79,10 +80,11 @@ def train(
     labelled = labelled.select(
         F.col(id_col).cast("string").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")
     )
-    sizes = {r["_lang"]: r["n"] for r in labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"))
+    # A mask has so many bits: of more languages the commonest are learned.
+    common = counts.orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    sizes = {r["_lang"]: r["n"] for r in common}
     languages = tuple(sorted(sizes))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask has {MAX_LANGUAGES} bits")
     spread = 1 << 30
     draw = F.pmod(F.xxhash64("_id"), F.lit(spread))
     share: Column = F.lit(0)
@@ -124,7 +126,8 @@ def train(
     masks = np.zeros(1 << slot_bits, width)
     masks[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64).astype(width)
     fill = np.array([((masks >> width(i)) & width(1)).mean() for i in range(len(languages))])
-    return LanguageModel(languages, masks, fill**hashes, slot_bits, hashes)
+    usual = max(range(len(languages)), key=lambda i: (sizes[languages[i]], -i), default=0)
+    return LanguageModel(languages, masks, fill**hashes, slot_bits, hashes, usual)
 
 
 def predict_text(model: LanguageModel, text: str | None) -> tuple[str, float]:
@@ -146,7 +149,7 @@ def predict_text(model: LanguageModel, text: str | None) -> tuple[str, float]:
     corrected = np.maximum(0.0, (counts - len(codes) * model.false_rates) / (1 - model.false_rates))
     best = int(np.argmax(corrected))
     if corrected[best] == 0:
-        return UNDETERMINED, 0.0
+        return model.languages[model.usual], 0.0
     rest = np.delete(corrected, best)
     lead = 1.0 - 0.5 * float(rest.max() / corrected[best]) if len(rest) else 1.0
     return model.languages[best], min(1.0, float(corrected[best]) / len(codes) * lead)
