@@ -54,9 +54,9 @@ def shingle_hashes(text: bytes, size: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist())]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bit b is set where over half of the hashes have it."""
-    if not hashes:
+    if not len(hashes):
         return 0
     bytes_ = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
     counts = np.bincount((bytes_ + _COLUMNS).ravel(), minlength=2048).reshape(8, 256)
