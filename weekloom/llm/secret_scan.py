@@ -15,7 +15,6 @@ scanned whole; equal ids and repeated rows keep a row each; an empty table gives
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +30,6 @@ KINDS = ("assign", "access", "hex", "novel")
 LEAST_LENGTH = 20
 CONTEXT = 64
 LEAST_NOVELTY = 0.75
-LEAST_ENTROPY = 3.5  # bits per character; spares the compressor strings like rows of dashes
 
 # Fixed values of the base contract.
 _ASSIGN = re.compile(
@@ -80,11 +78,6 @@ def novelty(candidate: str, before: str, after: str, extra: bytes = b"") -> floa
     return (len(packer.compress(around + candidate.encode())) - alone) / len(candidate)
 
 
-def _entropy(text: str) -> float:
-    shares = [text.count(c) / len(text) for c in set(text)]
-    return -sum(p * math.log2(p) for p in shares)
-
-
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The contract's spans: leftmost matches per kind, failing ones dropped."""
     spans = []
@@ -120,8 +113,6 @@ def novel_spans(
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        if _entropy(m[0]) < LEAST_ENTROPY:
-            continue
         before, after = text[max(0, start - 4 * CONTEXT) : start], text[end : end + 4 * CONTEXT]
         if novelty(m[0], before, after, extra) >= least_novelty:
             spans.append(("novel", start, end))
