@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 One Bloom filter per language, stored bit-sliced: slot i of a single table is a mask whose bit l says
-that filter l has bit i. Looking an n-gram up is the AND of the masks in its slots, which names all
+that filter l has bit i. A mask has as many words of 64 bits as the languages need. Looking an n-gram up is the AND of the masks in its slots, which names all
 languages that contain it at once. A text's n-grams are counted per language by these bits, and each
 count is corrected for the filter's false positives, c' = (c - n p) / (1 - p) with p = fill^hashes.
 The language with the largest corrected count is predicted; the score is the share of the text's
@@ -10,9 +10,9 @@ n-grams that are in its filter, weighted by its lead over the next language.
 Training reads a sample of at most ``sample_docs`` documents per language in expectation, chosen by a
 hash of the id (a documented bound: the filters only need the frequent n-grams). An n-gram enters the
 filter of a language that has it at least ``min_count`` times in the sample. The model has a fixed
-size, ``2^slot_bits`` masks, whatever the corpus, and is what tasks receive.
+size, ``2^slot_bits`` masks of a bit per language, whatever the corpus, and is what tasks receive.
 
-Cases: of more than 64 languages the commonest are learned; a text that is null or has no letter is ``und`` with score 0; so is every text if nothing was
+Cases: every label is learned; a text that is null or has no letter is ``und`` with score 0; so is every text if nothing was
 learned; a text none of whose n-grams any filter has gets the commonest language with score 0; a text
 shorter than an n-gram is one padded n-gram; ties go to the language first in name order; repeated rows are predicted alike; an empty table gives an empty result.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weekloom.llm.common import map_batches
 
 UNDETERMINED = "und"
-MAX_LANGUAGES = 64
+_WORD_BITS = 64
 # Below this a filter knows next to nothing of a text; clean texts of a few words reach 0.3 and more.
 LEAST_SCORE = 0.1
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -42,7 +42,7 @@ _PIECE = 1 << 20
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    masks: np.ndarray  # of the slots, unsigned
+    masks: np.ndarray  # (words, slots), unsigned
     false_rates: np.ndarray  # per language
     slot_bits: int
     hashes: int
@@ -81,16 +81,14 @@ def train(
         F.col(id_col).cast("string").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")
     )
     counts = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"))
-    # A mask has so many bits: of more languages the commonest are learned.
-    common = counts.orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
-    sizes = {r["_lang"]: r["n"] for r in common}
+    sizes = {r["_lang"]: r["n"] for r in counts.collect()}
     languages = tuple(sorted(sizes))
     spread = 1 << 30
     draw = F.pmod(F.xxhash64("_id"), F.lit(spread))
-    share: Column = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(spread, spread * sample_docs // n))).otherwise(share)
-    sample = labelled.where(draw < share).select("_lang", "_text")
+    # One row per label; a chain of conditions would grow with the labels.
+    drawn = [(lang, min(spread, spread * sample_docs // n)) for lang, n in sizes.items()]
+    shares = docs.sparkSession.createDataFrame(drawn, "_lang string, _share long")
+    sample = labelled.join(F.broadcast(shares), "_lang").where(draw < F.col("_share")).select("_lang", "_text")
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,41 +109,49 @@ def train(
         )
 
     counted = map_batches(sample, count, "code long, lang long, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
-    own = counted.where(F.col("n") >= min_count).groupBy("code").agg(
-        F.bit_or(F.expr("shiftleft(1L, int(lang))")).alias("mask")
-    )
+    own = counted.where(F.col("n") >= min_count).groupBy(
+        "code", F.floor(F.col("lang") / _WORD_BITS).cast("long").alias("word")
+    ).agg(F.bit_or(F.expr(f"shiftleft(1L, int(lang % {_WORD_BITS}))")).alias("mask"))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes, masks = batch.column("code").to_numpy(), batch.column("mask").to_numpy()
         at = np.concatenate(list(slots(codes, slot_bits, hashes))).astype(np.int64)
-        return pa.record_batch({"slot": pa.array(at), "mask": pa.array(np.tile(masks, hashes))})
+        words = np.tile(batch.column("word").to_numpy(), hashes)
+        return pa.record_batch({"slot": pa.array(at), "word": pa.array(words), "mask": pa.array(np.tile(masks, hashes))})
 
-    # At most 2^slot_bits rows, whatever was counted.
-    filled = map_batches(own, place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    # At most 2^slot_bits rows per word of a mask, whatever was counted.
+    placed = map_batches(own, place, "slot long, word long, mask long").groupBy("slot", "word")
+    filled = placed.agg(F.bit_or("mask").alias("mask")).toArrow()
     width = np.uint8 if len(languages) <= 8 else np.uint64
-    masks = np.zeros(1 << slot_bits, width)
-    masks[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64).astype(width)
-    fill = np.array([((masks >> width(i)) & width(1)).mean() for i in range(len(languages))])
+    masks = np.zeros((max(1, -(-len(languages) // _WORD_BITS)), 1 << slot_bits), width)
+    at = filled.column("word").to_numpy(), filled.column("slot").to_numpy()
+    masks[at] = filled.column("mask").to_numpy().view(np.uint64).astype(width)
+    fill = np.array([_bit(masks[i // _WORD_BITS], i % _WORD_BITS).mean() for i in range(len(languages))])
     usual = max(range(len(languages)), key=lambda i: (sizes[languages[i]], -i), default=0)
     return LanguageModel(languages, masks, fill**hashes, slot_bits, hashes, usual)
 
 
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    return (masks >> masks.dtype.type(i)) & masks.dtype.type(1)
+
+
 def predict_text(model: LanguageModel, text: str | None) -> tuple[str, float]:
     if not model.languages or not has_letter(text):
         return UNDETERMINED, 0.0
     codes = grams(text)
     counts = np.zeros(len(model.languages))
-    one = model.masks.dtype.type(1)
     for at in range(0, len(codes), _PIECE):
-        found = None
-        for slot in slots(codes[at : at + _PIECE], model.slot_bits, model.hashes):
-            looked_up = model.masks[slot]
-            found = looked_up if found is None else found & looked_up
-        if model.masks.dtype == np.uint8:
-            by_mask = np.bincount(found, minlength=256)
-            counts += [by_mask[_WITH_BIT[i]].sum() for i in range(len(counts))]
-        else:
-            counts += [((found >> np.uint64(i)) & one).sum() for i in range(len(counts))]
+        looked_up = list(slots(codes[at : at + _PIECE], model.slot_bits, model.hashes))
+        for word, masks in enumerate(model.masks):
+            found = masks[looked_up[0]]
+            for slot in looked_up[1:]:
+                found = found & masks[slot]
+            mine = range(word * _WORD_BITS, min(len(counts), (word + 1) * _WORD_BITS))
+            if masks.dtype == np.uint8:
+                by_mask = np.bincount(found, minlength=256)
+                counts[mine] += [by_mask[_WITH_BIT[i]].sum() for i in mine]
+            else:
+                counts[mine] += [_bit(found, i % _WORD_BITS).sum() for i in mine]
     corrected = np.maximum(0.0, (counts - len(codes) * model.false_rates) / (1 - model.false_rates))
     best = int(np.argmax(corrected))
     if corrected[best] == 0:
