@@ -5,18 +5,19 @@ to the nearest of the 2D signed axes. A query probes, in every table, the ``prob
 The vectors of a bucket meet the queries that probe it; candidates are ranked by their exact inner
 products with the original vectors in double precision.
 
-Largest inner product is made a matter of angles where norms differ: vectors are scaled by the largest
-norm and get one more coordinate that fills them to length one; queries have zero there.
-
-A bucket larger than ``BLOCK_ROWS`` is dealt by a hash of the id into blocks of about that size, and its
-queries visit each, so a vector that a third of all rows repeat makes more blocks, not a larger one. A block
-returns at most ``k`` candidates per query. Bucket sizes are the only thing that comes to the driver:
-``tables * 2D`` counts, whatever the input. A query that finds fewer than it could is searched again in
-all buckets, which is exact.
-
-The defaults were measured on isotropic vectors of 64 dimensions, where neighbours lie little nearer
-than the rest: recall at 20 neighbours 0.94 on 500 rows, 0.96 on 2,000 and 0.99 on 51,282, looking at
-0.56 of the rows.
+Largest inner product is made a matter of angles where norms differ: vectors are split into bands of
+norms within ``BAND`` of each other, and each band is hashed by direction on its own. How many axes a band
+needs is measured: in a sample of its rows the nearest of sampled queries are found by brute force, and
+``probes`` is raised until ``SAMPLE_RECALL`` of them are in probed buckets. The neighbours in a sample lie
+farther than those in the whole band, so that is on the safe side. A band whose probes would amount to
+scoring each row once is searched whole instead, which costs no more and is exact; so are the bands of
+fewer than ``WHOLE_ROWS`` rows, together.
+
+Equal (id, vector) rows are one. A bucket larger than ``BLOCK_ROWS`` is dealt by a hash of id and vector
+into blocks of about that size, and its queries visit each, so neither a vector nor an id that a third of
+all rows repeat makes a larger block. A block returns the best ``k`` ids per query. Bucket sizes and the
+samples are what comes to the driver, whatever the input. A query that finds fewer than it could is
+searched again in all rows, which is exact.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those with
 a null id or with another length than most; rows that share an id are one candidate with the best of
@@ -37,6 +38,11 @@ from weekloom.llm.common import map_batches
 from weekloom.session import write_table
 
 BLOCK_ROWS = 4096
+BAND = 1.25
+WHOLE_ROWS = 1024
+SAMPLE_ROWS = 2048
+SAMPLE_QUERIES = 128
+SAMPLE_RECALL = 0.95
 # Candidate rows merged in one group.
 _MERGED_ROWS = 200_000
 # Scores by matrix product may differ from exact ones by this; candidates so near to the last are kept.
@@ -54,26 +60,39 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
+def norms_of(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, none of which is zero; squares neither overflow nor vanish."""
+    most = np.abs(vectors).max(axis=1)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(axis=1))
+
+
+def bands_of(vectors: np.ndarray) -> np.ndarray:
+    """Number of the norm band of every row."""
+    return np.floor(np.log(norms_of(vectors)) / math.log(BAND)).astype(np.int64)
+
+
+def mixed_hash(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """31 bits of id and vector."""
+    odd = np.random.default_rng(7).integers(1 << 62, size=vectors.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = np.ascontiguousarray(vectors).view(np.uint64)
+    bits = (bits ^ (bits >> np.uint64(32))) * odd
+    mixed = bits.sum(axis=1, dtype=np.uint64) ^ (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(33)).astype(np.int64)
+
+
 class CrossPolytope:
-    """Rotations of all tables; ``fill`` adds the coordinate that evens out norms."""
+    """Rotations of all tables, of vectors scaled to length one."""
 
-    def __init__(self, dim: int, tables: int, largest: float, fill: bool, seed: int):
-        self.largest, self.fill, self.tables = largest, fill, tables
-        self.size = 1 << max(1, (dim + fill - 1).bit_length())
+    def __init__(self, dim: int, tables: int, seed: int):
+        self.tables = tables
+        self.size = 1 << max(1, (dim - 1).bit_length())
         rng = np.random.default_rng(seed)
         self.signs = rng.choice(np.array([-1.0, 1.0]), (tables, 3, self.size))
 
-    def _padded(self, vectors: np.ndarray, query: bool) -> np.ndarray:
-        out = np.zeros((len(vectors), self.size))
-        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        scaled = vectors / (norms if query else np.full(len(norms), self.largest))[:, None]
-        out[:, : vectors.shape[1]] = scaled
-        if self.fill and not query:
-            out[:, vectors.shape[1]] = np.sqrt(np.maximum(0.0, 1.0 - (norms / self.largest) ** 2))
-        return out
-
-    def rotated(self, vectors: np.ndarray, query: bool = False) -> Iterator[np.ndarray]:
-        x = self._padded(vectors, query)
+    def rotated(self, vectors: np.ndarray) -> Iterator[np.ndarray]:
+        x = np.zeros((len(vectors), self.size))
+        x[:, : vectors.shape[1]] = vectors / norms_of(vectors)[:, None]
         for rounds in self.signs:
             y = x
             for signs in rounds:
@@ -91,7 +110,7 @@ class CrossPolytope:
     def probes(self, vectors: np.ndarray, n: int) -> np.ndarray:
         """(tables, n vectors, n): the nearest signed axes of queries."""
         out = []
-        for y in self.rotated(vectors, query=True):
+        for y in self.rotated(vectors):
             out.append(np.argsort(np.concatenate([-y, y], axis=1), axis=1, kind="stable")[:, :n])
         return np.array(out)
 
@@ -149,29 +168,99 @@ def _usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str)
     )
 
 
-_BLOCK = "table int, bucket int, salt int, id long, asks boolean"
+_BLOCK = "band long, table int, bucket int, salt int, id long, asks boolean"
 _FOUND = "part int, query_id long, ids array<long>, scores array<double>"
+# Stands for the bands that are searched whole; a band number is far from it.
+_WHOLE = 1 << 40
 
 
-def _search(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, probes: int, k: int, parts: int) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` of the best of the probed buckets."""
+def _drawn(rows: DataFrame, share: dict[int, float]) -> DataFrame:
+    """``(band, vector)`` of about that share of every band named."""
     vector_type = rows.schema["vector"].dataType.simpleString()
 
+    def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vectors = _matrix(batch.column("vector"))
+        band = bands_of(vectors)
+        least = np.array([share.get(b, 0.0) for b in band.tolist()])
+        at = np.flatnonzero(mixed_hash(batch.column("id").to_numpy(), vectors) < least * (1 << 31))
+        return pa.record_batch({"band": pa.array(band[at]), "vector": batch.column("vector").take(pa.array(at))})
+
+    return map_batches(rows.select("id", "vector"), draw, f"band long, vector {vector_type}")
+
+
+def probes_needed(lsh: CrossPolytope, queries: np.ndarray, vectors: np.ndarray, k: int) -> int:
+    """Axes per table that bring ``SAMPLE_RECALL`` of the ``k`` nearest of ``queries`` into probed buckets."""
+    scores = queries @ vectors.T
+    # A query among the rows is not its own neighbour.
+    scores[(queries[:, None, :1] == vectors[None, :, :1])[:, :, 0] & np.isclose(scores, (queries**2).sum(axis=1)[:, None])] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    first = np.full(near.shape, 2 * lsh.size)
+    for held, asked in zip(lsh.buckets(vectors), lsh.probes(queries, 2 * lsh.size)):
+        place = np.argsort(asked, axis=1, kind="stable")
+        first = np.minimum(first, np.take_along_axis(place, held[near], axis=1))
+    return 1 + int(np.quantile(first, SAMPLE_RECALL, method="higher"))
+
+
+def _plan(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, probes: int, k: int) -> dict[int, int]:
+    """Axes to probe in each table for the bands that are hashed; the others are searched whole."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        band, n = np.unique(bands_of(_matrix(batch.column("vector"))), return_counts=True)
+        return pa.record_batch({"band": pa.array(band), "n": pa.array(n)})
+
+    sizes = map_batches(rows.select("vector"), count, "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
+    large = {r["band"]: r["n"] for r in sizes.where(F.col("n") >= max(k + 1, WHOLE_ROWS)).collect()}
+    # Fewer axes than these cannot be had, and more than one look at each row is not worth it.
+    if not large or probes * lsh.tables >= 2 * lsh.size:
+        return {}
+    asked = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_QUERIES).select("vector").toArrow()
+    if not asked.num_rows:
+        return {}
+    asked = _matrix(asked.column("vector").combine_chunks())
+    plan = {}
+    for band in sorted(large):  # one band's sample at a time
+        drawn = _drawn(rows, {band: SAMPLE_ROWS / large[band]}).toArrow()
+        if drawn.num_rows > k:
+            need = max(probes, probes_needed(lsh, asked, _matrix(drawn.column("vector").combine_chunks()), k))
+            if need * lsh.tables < 2 * lsh.size:
+                plan[band] = need
+    return plan
+
+
+def _search(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, plan: dict[int, int], k: int, parts: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)`` of the best of the probed buckets and of the bands not in ``plan``."""
+    vector_type = rows.schema["vector"].dataType.simpleString()
+    hashed = np.array(sorted(plan), np.int64)
+
+    def places(vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, band, table, bucket) of all places of the rows."""
+        band = bands_of(vectors)
+        inside = np.isin(band, hashed)
+        whole, at = np.flatnonzero(~inside), np.flatnonzero(inside)
+        zeros = np.zeros(len(whole), np.int64)
+        if not len(at):
+            return whole, np.full(len(whole), _WHOLE), zeros, zeros
+        found = lsh.buckets(vectors[at])
+        of = np.concatenate([whole, np.tile(at, lsh.tables)])
+        table = np.concatenate([zeros, np.repeat(np.arange(lsh.tables), len(at))])
+        names = np.concatenate([np.full(len(whole), _WHOLE), np.tile(band[at], lsh.tables)])
+        return of, names, table, np.concatenate([zeros, found.ravel()])
+
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = lsh.buckets(_matrix(batch.column("vector")))
-        counts = np.array([np.bincount(b, minlength=2 * lsh.size) for b in found])
-        table, bucket = np.nonzero(counts)
-        return pa.record_batch({"t": pa.array(table), "b": pa.array(bucket), "n": pa.array(counts[table, bucket])})
+        _, *place = places(_matrix(batch.column("vector")))
+        place, n = np.unique(np.column_stack(place), axis=0, return_counts=True)
+        return pa.record_batch({c: pa.array(v) for c, v in zip("ptbn", (*place.T, n))})
 
-    sizes = map_batches(rows.select("vector"), count, "t long, b long, n long")
-    blocks = np.zeros((lsh.tables, 2 * lsh.size), np.int64)
-    for r in sizes.groupBy("t", "b").agg(F.sum("n").alias("n")).collect():
-        blocks[r["t"], r["b"]] = -(-r["n"] // BLOCK_ROWS)
+    sizes = map_batches(rows.select("vector"), count, "p long, t long, b long, n long")
+    blocks: dict[int, np.ndarray] = {b: np.zeros((lsh.tables, 2 * lsh.size), np.int64) for b in (*plan, _WHOLE)}
+    for r in sizes.groupBy("p", "t", "b").agg(F.sum("n").alias("n")).collect():
+        blocks[r["p"]][r["t"], r["b"]] = -(-r["n"] // BLOCK_ROWS)
 
-    def pack(batch: pa.RecordBatch, of: np.ndarray, table, bucket, salt, asks: bool) -> pa.RecordBatch:
+    def pack(batch: pa.RecordBatch, of: np.ndarray, band, table, bucket, salt, asks: bool) -> pa.RecordBatch:
         taken = batch.take(pa.array(of))
         return pa.record_batch(
             {
+                "band": pa.array(band, pa.int64()),
                 "table": pa.array(table, pa.int32()),
                 "bucket": pa.array(bucket, pa.int32()),
                 "salt": pa.array(salt, pa.int32()),
@@ -182,23 +271,28 @@ def _search(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, probes: int
         )
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = lsh.buckets(_matrix(batch.column("vector")))
-        n = batch.num_rows
-        table, of = np.repeat(np.arange(lsh.tables), n), np.tile(np.arange(n), lsh.tables)
-        bucket = found.ravel()
-        ids = batch.column("id").to_numpy().astype(np.uint64)
-        mixed = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        salt = mixed[of].astype(np.int64) % np.maximum(1, blocks[table, bucket])
-        return pack(batch, of, table, bucket, salt, False)
+        vectors = _matrix(batch.column("vector"))
+        of, band, table, bucket = places(vectors)
+        times = np.zeros(len(of), np.int64)
+        for b in np.unique(band).tolist():
+            mine = band == b
+            times[mine] = blocks[b][table[mine], bucket[mine]]
+        salt = mixed_hash(batch.column("id").to_numpy(), vectors)[of] % np.maximum(1, times)
+        return pack(batch, of, band, table, bucket, salt, False)
 
     def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = lsh.probes(_matrix(batch.column("vector")), probes)
-        table, of, _ = (x.ravel() for x in np.indices(found.shape))
-        bucket = found.ravel()
-        times = blocks[table, bucket]
+        n = batch.num_rows
+        most = max(plan.values(), default=0)
+        found = lsh.probes(_matrix(batch.column("vector")), most) if most else None
+        asked = [[np.arange(n), np.full(n, _WHOLE), np.zeros(n, np.int64), np.zeros(n, np.int64)]]
+        for b, probes in plan.items():
+            table, of, _ = (x.ravel() for x in np.indices((lsh.tables, n, probes)))
+            asked.append([of, np.full(len(of), b), table, found[:, :, :probes].ravel()])
+        of, band, table, bucket = (np.concatenate(c) for c in zip(*asked))
+        times = np.concatenate([blocks[a[1][0]][a[2], a[3]] if len(a[1]) else a[1] for a in asked])
         which = np.repeat(np.arange(len(bucket)), times)
         salt = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        return pack(batch, of[which], table[which], bucket[which], salt, True)
+        return pack(batch, of[which], band[which], table[which], bucket[which], salt, True)
 
     schema = f"{_BLOCK}, vector {vector_type}"
     placed = map_batches(rows.select("id", "vector"), place, schema)
@@ -240,7 +334,7 @@ def _search(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, probes: int
             }
         )
 
-    found = placed.union(asked).groupBy("table", "bucket", "salt").applyInArrow(block, _FOUND)
+    found = placed.union(asked).groupBy("band", "table", "bucket", "salt").applyInArrow(block, _FOUND)
     return found.groupBy("part").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
@@ -264,27 +358,22 @@ def nearest(
         return empty
     dim = common["d"]
     rows = rows.where(F.size("vector") == dim)
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    norms = rows.agg(
-        F.min(squares).alias("least"),
-        F.max(squares).alias("most"),
-        F.count(F.when(F.col("asks"), 1)).alias("queries"),
-        F.approx_count_distinct("id").alias("ids"),
-    ).first()
-    largest, least = math.sqrt(norms["most"]), math.sqrt(norms["least"])
-    lsh = CrossPolytope(dim, tables, largest, bool(least < largest * (1 - 1e-6)), seed)
-    axes = 2 * lsh.size
-    probes = min(probes, axes)
-    parts = max(1, math.ceil(norms["queries"] * tables * probes * k / _MERGED_ROWS))
+    # Equal rows are one, and so are copies of an id's vector of which only some ask.
+    rows = write_table(rows.groupBy("id", "vector").agg(F.max("asks").alias("asks")), "distinct-vectors")
     queries = rows.where("asks")
-    found = write_table(_search(rows, queries, lsh, probes, k, parts), "neighbours")
-    # A query with fewer than k of its probed buckets is searched in all of them.
+    n_queries = queries.count()
+    lsh = CrossPolytope(dim, tables, seed)
+    plan = _plan(rows, queries, lsh, min(probes, 2 * lsh.size), k)
+    parts = max(1, math.ceil(n_queries * (1 + tables * sum(plan.values())) * k / _MERGED_ROWS))
+    found = write_table(_search(rows, queries, lsh, plan, k, parts), "neighbours")
+    if not plan:
+        return found
+    # A query with fewer than k of its probed buckets is searched in all rows.
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = write_table(queries.join(full, "id", "left_anti"), "short-queries")
     n_short = short.count()
     if not n_short:
         return found
-    one_table = CrossPolytope(dim, 1, largest, lsh.fill, seed)
-    parts = max(1, math.ceil(n_short * axes * k / _MERGED_ROWS))
-    again = _search(rows, short, one_table, axes, k, parts)
+    parts = max(1, math.ceil(n_short * k * -(-rows.count() // BLOCK_ROWS) / _MERGED_ROWS))
+    again = _search(rows, short, lsh, {}, k, parts)
     return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").union(again)
