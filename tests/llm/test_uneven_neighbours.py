@@ -62,3 +62,24 @@ def test_recall_stays_where_buckets_are_probed(spark):
         patch.setattr(ann, "_plan", spy)
         assert _recall(spark, np.arange(6000), vectors) >= 0.9
     assert calls[0]
+
+
+def test_repeated_rows_and_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
+    rng = np.random.default_rng(13)
+    vectors, ids = _unit(rng, 1500, 64), np.arange(1500)
+    twice = np.repeat(vectors, 2, axis=0)
+    assert _recall(spark, np.repeat(ids, 2), twice) >= 0.9
+    copies = np.concatenate([vectors, np.repeat(vectors[7:8], 25, axis=0)])
+    assert _recall(spark, np.append(ids, np.full(25, 7)), copies) >= 0.9
+    ids[::3] = 1
+    assert _recall(spark, ids, vectors) >= 0.9
+
+
+def test_best_ids_of_a_block():
+    rng = np.random.default_rng(14)
+    vectors = rng.normal(size=(40, 8))
+    ids = np.where(np.arange(40) < 25, 7, np.arange(40))
+    vectors[:25] = 5 * vectors[39]
+    row, found, _, _ = ann.top_of_block(vectors[39:], np.array([100]), vectors, ids, 10)
+    assert len(found) == 10 and found[0] == 7 and len(set(found.tolist())) == 10

@@ -129,8 +129,12 @@ def top_of_block(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_
     """(query row, id, score) of the best ``k`` of a block for each query, the query's own id left out."""
     rough = queries @ vectors.T
     rough[q_ids[:, None] == v_ids[None, :]] = -np.inf
-    if rough.shape[1] > k:
-        least = np.partition(rough, -k, axis=1)[:, -k]
+    # The k-th best is counted over ids, each by its best row.
+    order = np.argsort(v_ids, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], v_ids[order][1:] != v_ids[order][:-1]]))
+    if len(begin) > k:
+        best = rough if len(begin) == len(v_ids) else np.maximum.reduceat(rough[:, order], begin, axis=1)
+        least = np.partition(best, -k, axis=1)[:, -k]
         scale = np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 1.0)))
         near = rough >= (least - _SLACK * scale)[:, None]
     else:
