@@ -157,11 +157,26 @@ def test_trie_join_with_tiny_units(spark, monkeypatch):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_keep_one_per_group(docs):
-    kept = simhash.keep_one_per_group(docs)
+def test_keep_one_row_per_group(docs):
+    kept = simhash.keep_one_row_per_group(docs)
     assert kept.columns == docs.columns
-    ids = sorted(r["doc_id"] for r in kept.collect())
-    assert 6 in ids and not {7, 8, 2, 3} & set(ids) and 1 in ids and len(ids) == len(set(ids))
+    ids = [r["doc_id"] for r in kept.collect()]
+    # Of equal ids the one row that names the group; the row without an id has no copy and stays.
+    assert 6 in ids and not {7, 8, 2, 3} & set(ids) and 1 in ids and None in ids and len(ids) == len(set(ids))
+
+
+def test_kept_rows_are_chosen_by_row(spark):
+    unique = [" ".join(f"{kind}{i}x{j}" for j in range(12)) for kind in "ne" for i in range(20)]
+    rows = [(None, t) for t in unique[:20]] + [(7, t) for t in unique[20:]]
+    rows += [(3, "a copy of a text"), (None, "a copy of a text"), (3, "a copy of a text"), (5, "A  copy of a text")]
+    rows += [(8, unique[0]), (None, None), (None, " "), (9, "")]
+    schema = "doc_id long, text string, _place map<string,int>, _first string, fp long, _id struct<a:int>"
+    odd = spark.createDataFrame([(*r, {"k": 1}, "clash", 2, (1,)) for r in rows], schema)
+    kept = simhash.keep_one_row_per_group(odd)
+    assert kept.schema.names == odd.schema.names
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = [(8, unique[0])] + [(None, t) for t in unique[1:20]] + [(7, t) for t in unique[20:]]
+    assert got == sorted([*want, (3, "a copy of a text"), (9, "")], key=str)
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -586,7 +601,7 @@ def test_empty_tables(spark, no_docs):
     results = [
         tokens.count_tokens(no_docs, new_table_path(spark, "cache")),
         simhash.near_groups(no_docs),
-        simhash.keep_one_per_group(no_docs),
+        simhash.keep_one_row_per_group(no_docs),
         packing.pack_documents(no_docs),
         substring.remove_repeats(no_docs),
         secret_scan.scan_secrets(no_docs),

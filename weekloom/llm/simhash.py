@@ -14,7 +14,9 @@ per connected set of fingerprints rather than all pairs; components across units
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other; texts of one or two
 words have one shingle; repeated rows share a component and keep a row each; a null id takes part
-but never names a component unless no other id is in it; an empty table gives an empty result.
+but never names a component unless no other id is in it; an empty table gives an empty result. A very
+long text is one row whose words and hashes are in memory at once, some 100 bytes a word. Extra columns play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -271,6 +273,17 @@ def near_links(entries: DataFrame, max_bits: int = 3) -> DataFrame:
     return sorted_rows.mapInArrow(run, "u long, v long")
 
 
+def component_names(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``(fp, component_id)`` per fingerprint of ``fps(_id, fp)``: the smallest ``_id`` of its component."""
+    edges = near_links(fps.select("fp").distinct(), max_bits)
+    roots = write_table(connected_components(edges), "components")
+    least = fps.groupBy("fp").agg(F.min("_id").alias("_id"))
+    grouped = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    grouped = grouped.select("fp", "_id", F.coalesce("root", "fp").alias("root"))
+    named = grouped.groupBy("root").agg(F.min("_id").alias("component_id"))
+    return grouped.join(named, "root").select("fp", "component_id")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -281,20 +294,31 @@ def near_groups(
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` per row; the component is named by its smallest id."""
     fps = write_table(fingerprints(docs, id_col, text_col, size, seed), "fingerprints")
-    edges = near_links(fps.select("fp").distinct(), max_bits)
-    roots = write_table(connected_components(edges), "components")
-    least = fps.groupBy("fp").agg(F.min("_id").alias("_id"))
-    grouped = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = grouped.select("fp", "_id", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("_id").alias("component_id"))
-    of_fp = grouped.join(named, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(of_fp, "fp").select(F.col("_id").alias(id_col), text.alias("fingerprint"), "component_id")
+    named = fps.join(component_names(fps, max_bits), "fp")
+    return named.select(F.col("_id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one row per id; a null id is never kept."""
-    groups = near_groups(docs, id_col, text_col, **params)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    return rows.dropDuplicates([id_col])
+def keep_one_row_per_group(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 3,
+    max_bits: int = 3,
+    seed: int = 42,
+) -> DataFrame:
+    """The rows of ``docs``, one per component: smallest id, nulls last, then the smaller text digest.
+
+    Rows are chosen by their place in a stored copy of ``docs``, never by their id, so rows with a null id
+    or an id that other texts have too are chosen or left on their own; columns may have any name and type.
+    """
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    stored = write_table(docs.withColumn(place, F.monotonically_increasing_id()), "documents")
+    own, text = F.col(id_col), F.col(text_col)
+    first = F.struct(own.isNull().alias("missing"), own.alias("id"), F.xxhash64(text).alias("t"), F.col(place).alias("p"))
+    fps = fingerprints(stored.select(first.alias("_first"), text.alias("_text")), "_first", "_text", size, seed)
+    kept = component_names(write_table(fps, "fingerprints"), max_bits)
+    kept = kept.select(F.col("component_id.p").alias(place)).distinct()
+    return stored.join(kept, place, "left_semi").select(*docs.columns)
