@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import decontam, langid, near_copies, packing, secret_scan
+from weekloom.llm import decontam, langid, packing, secret_scan, simhash
 from weekloom.session import ship_package, write_table
 
 
@@ -23,12 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, that with the smallest id, nulls last.
+    """One row of each SimHash group stays, that with the smallest id, nulls last.
 
-    Near copies have a Jaccard similarity of 0.8 or more in their five-word shingles.
+    A group is linked by fingerprints of three-word shingles that differ in three bits or fewer.
     """
     ship_package(spark)
-    return near_copies.keep_one_row_per_group(docs)
+    return simhash.keep_one_row_per_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
