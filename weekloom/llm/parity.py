@@ -13,8 +13,8 @@ words that differ in one bit share such a variant. A set sends its own band's wo
 partner, those of the next band.
 
 What this finds are candidates, kept as star edges: a hot word costs an edge a set, not all pairs. Tasks fold
-what is equal before the shuffle. Sets of each candidate component are then shipped once (where a
-component is over ``SET_BYTES``, to the pairs of its parts) and links are decided by the exact similarity.
+what is equal before the shuffle. One text of each set in a candidate component is then shipped (where a
+component's sets are over ``SET_BYTES``, to the pairs of its parts) and links are decided by the exact similarity.
 
 Cases: null, empty and blank texts have an empty set, which links with nothing; a text with fewer words
 than a shingle is one element; equal sets are one entry and link at any size; a null id takes part like any
@@ -321,16 +321,20 @@ def exact_links(sets: list[np.ndarray], least: int = LEAST) -> list[tuple[int, i
     return found
 
 
-def _verified(sets: DataFrame, least: int) -> DataFrame:
-    """Exact edges ``(u, v)`` inside the candidate components of ``sets(node, root, blob)``."""
-    volume = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("blob")) / SET_BYTES).alias("parts"))
-    dealt = sets.join(volume, "root").withColumn("s", F.pmod(F.xxhash64("node"), F.col("parts")))
+def _verified(texts: DataFrame, size: int, least: int) -> DataFrame:
+    """Exact edges ``(u, v)`` inside the candidate components of ``texts(root, parts, node, _text)``.
+
+    A component in several parts is dealt to the pairs of its parts.
+    """
+    dealt = texts.withColumn("s", F.pmod(F.xxhash64("node"), F.col("parts")))
     dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("root", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "node", "blob")
+    dealt = dealt.select("root", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "node", "_text")
 
     def check(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        links = exact_links([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("blob")], least)
+        # A set comes once for each task that met its text.
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        column = table.column("_text").combine_chunks().take(pa.array(first))
+        links = exact_links([shingle_set(t, size) for t in byte_texts(column)], least)
         x, y = (np.array([link[k] for link in links], np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(node[x], pa.int64()), "v": pa.array(node[y], pa.int64())})
 
@@ -369,19 +373,6 @@ def _once(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "_t long, _s long, _text string")
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """``(root, a, b, blob)`` of ``texts(root, _text)``."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, size) for t in byte_texts(batch.column("_text"))]
-        names = [name_of(s) for s in sets]
-        columns = {"root": batch.column("root")}
-        columns |= {c: pa.array([x[k] for x in names], pa.int64()) for k, c in enumerate("ab")}
-        return pa.record_batch(columns | {"blob": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    return map_batches(texts, run, "root long, a long, b long, blob binary")
-
-
 def jaccard_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: int = LEAST
 ) -> DataFrame:
@@ -394,17 +385,21 @@ def jaccard_groups(
     n_words = rows.agg(F.sum("n")).first()[0] or 0
     edges = candidate_edges(own, n_words, size, least)
     members = write_table(connected_components(edges), "candidates")
-    # One text of each set that is in a candidate component.
-    distinct = rows.where("n > 0").groupBy("a", "b").agg(F.min("_id").alias("_id"), F.min(F.struct("_t", "_s")).alias("_text"))
-    distinct = write_table(distinct, "distinct-sets")
+    # One entry per set, numbered, with one of its texts.
+    distinct = rows.where("n > 0").groupBy("a", "b").agg(
+        F.min("_id").alias("_id"), F.min(F.struct("_t", "_s")).alias("_text"), F.first("n").alias("n")
+    )
+    distinct = write_table(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
     short = F.col("a").bitwiseAND(F.lit(int(_NAME_BITS)))
-    chosen = distinct.join(members, short == F.col("node")).select("root", "_text._t", "_text._s")
+    members = members.withColumnRenamed("node", "name")
+    chosen = distinct.join(members, short == F.col("name")).select("root", "node", "n", "_text._t", "_text._s")
+    chosen = write_table(chosen, "candidate-sets")
+    volume = chosen.groupBy("root").agg(F.ceil(F.sum("n") * 8 / SET_BYTES).alias("parts"), F.count(F.lit(1)).alias("sets"))
+    chosen = chosen.join(volume.where("sets > 1"), "root").select("root", "parts", "node", "_t", "_s")
     texts = _once(own.select("_t", "_s", "_text")).join(write_table(chosen, "chosen-texts"), ["_t", "_s"])
-    sets = _sets(texts.select("root", "_text"), size).dropDuplicates(["a", "b"])
-    sets = write_table(sets.withColumn("node", F.monotonically_increasing_id()), "candidate-sets")
-    linked = connected_components(_verified(sets.select("root", "node", "blob"), least))
-    roots = sets.select("a", "b", "node").join(linked, "node").select("a", "b", "root")
-    grouped = write_table(distinct.join(roots, ["a", "b"], "left").select("a", "b", "_id", "root"), "grouped-sets")
+    linked = connected_components(_verified(texts.drop("_t", "_s"), size, least))
+    grouped = distinct.join(linked, "node", "left").select("a", "b", "_id", "root")
+    grouped = write_table(grouped, "grouped-sets")
     # A set without links is its own component.
     least_id = grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("_id").alias("_least"))
     named = grouped.join(least_id, "root", "left").select(
