@@ -125,11 +125,24 @@ class BoostedParams:
     subsample: float = 0.8
     colsample: float = 0.8
     min_child_weight: int = 3
+    # Penalties on the leaf weights: absolute value and square.
+    reg_alpha: float = 0.01
+    reg_lambda: float = 1.0
+    # Cut points per feature are one less; at most 255.
+    bins: int = 64
     per_horizon: bool = True
     n_trials: int = 50
+    # A trial stops after this many trees without a lower error; at ``first_rung`` trees, and at each doubling,
+    # the worse half of the trials of a pass is dropped.
+    early_stopping_rounds: int = 50
+    first_rung: int = 16
+    # Trials that grow side by side.
+    trials_at_once: int = 10
     seed: int = 42
-    # Fits, or trials when tuning, that run side by side.
-    parallelism: int = 4
+
+    def __post_init__(self):
+        if not 2 <= self.bins <= 255:
+            raise ValueError(f"bins must be 2 to 255, got {self.bins}")
 
 
 @dataclass(frozen=True)
