@@ -88,8 +88,32 @@ def test_every_pair_at_the_threshold_shares_an_entry():
         rng.shuffle(pool)
         sets = [np.sort(pool[:a]), np.sort(np.concatenate([pool[:shared], pool[a : a + b - shared]]))]
         assert 100 * shared >= 85 * (a + b - shared)
-        key, following, name = parity._entries(bands, sets, np.array([1, 2], np.uint64))
-        assert len(parity._joined(key, following, name)[0]) == 1
+        entries = parity._entries(bands, sets, np.array([1, 2], np.uint64))
+        assert len(parity._joined(*entries)[0]) == 1
+
+
+def test_chains_fit_as_counted_word_by_word():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 62, 4000).astype(np.uint64)
+    flips = [sum(1 << b for b in {int(b) for b in rng.integers(0, 64, int(n))}) for n in rng.integers(0, 9, 4000)]
+    b = a ^ np.array(flips, np.uint64)
+    want = []
+    for x in (a ^ b).tolist():
+        sums = np.cumsum([(x >> 8 * j & 255).bit_count() for j in range(8)])
+        want.append(all(s <= j + 1 for j, s in enumerate(sums)))
+    assert parity.chain_fits(a, b).tolist() == want and 100 < sum(want) < 3900
+
+
+def test_large_groups_join_what_fits():
+    """One key for all entries: the pairs that fit give the same components as the joined stars."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 6).astype(np.uint64)
+    chain = np.array([x ^ np.uint64(1 << int(k)) for x in base for k in rng.integers(0, 64, 12)], np.uint64)
+    name = np.arange(len(chain)).astype(np.uint64)
+    u, v = parity._joined(np.zeros(len(chain), np.uint64), chain, name)
+    got = brute.components(name.tolist(), lambda x, y: bool(np.any((u == x) & (v == y) | (u == y) & (v == x))))
+    want = brute.components(chain.tolist(), lambda x, y: bool(parity.chain_fits(np.array([x], np.uint64), np.array([y], np.uint64))[0]))
+    assert got == want and len(set(want)) > 6
 
 
 def test_sketch_bits_bound_the_difference():

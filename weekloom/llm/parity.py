@@ -6,11 +6,11 @@ similarity of ``least`` differ in at most (1 - least) / (1 + least) * (a + b) el
 
 Sizes are cut into bands so that a partner is in the same band or the next. Of a band with at most D
 differing elements the sketch has D + 1 words. By the pigeonhole principle, taken round the row of words
-(Qin and Xiao, 2018), a linked pair has a word where both are equal and the next differs in one bit at
-most. Equal words are an equi-join in Spark; the next word decides inside the join. A word of one bit or
-none is common, so it is joined together with the next one, with each of its bits left out in turn: two
-words that differ in one bit share such a variant. A set sends its own band's words and, as a smaller
-partner, those of the next band.
+(Qin and Xiao, 2018), a linked pair has a word where both are equal and from which on any l words differ in
+l - 1 bits at most. Equal words are an equi-join in Spark; the ``CHAIN`` words that follow, folded to eight bits
+each, decide inside the join. A word of one bit or none is common, so it is joined together with the next one,
+with each of its bits left out in turn: two words that differ in one bit share such a variant. A set sends its
+own band's words and, as a smaller partner, those of the next band.
 
 What this finds are candidates, kept as star edges: a hot word costs an edge a set, not all pairs. Tasks fold
 what is equal before the shuffle. One text of each set in a candidate component is then shipped (where a
@@ -117,16 +117,38 @@ def sketches(elements: np.ndarray, sizes: np.ndarray, widths: np.ndarray) -> np.
     return out
 
 
-# An entry: what is joined on beyond the bucket, the folded next word, the name of the set.
-_ENTRY = np.dtype([("key", "<u4"), ("next", "<u4"), ("low", "<u4"), ("high", "<u2")])
+# An entry: what is joined on beyond the bucket, the words that follow, the name of the set.
+_ENTRY = np.dtype([("key", "<u4"), ("chain", "<u8"), ("low", "<u4"), ("high", "<u2")])
+# Words that follow in an entry, one byte each.
+CHAIN = 8
+# Groups of this many entries or fewer are compared pair by pair.
+_FEW = 16
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+# Byte j, counted from 0: the j + 2 words from the equal one differ in j + 1 bits at most.
+_LIMITS = np.uint64(0x0807060504030201)
 
 
-def _folded(words: np.ndarray) -> np.ndarray:
-    return ((words ^ (words >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """Words folded to their lowest ``bits``: differing bits can only get fewer."""
+    shift = 32
+    while shift >= bits:
+        words = words ^ (words >> np.uint64(shift))
+        shift //= 2
+    return words & np.uint64((1 << bits) - 1)
+
+
+def chain_fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether every run of words from the equal one differs in fewer bits than it has words."""
+    x = a ^ b
+    x = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    bits = (x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)
+    # The product's byte j is the sum of the bytes up to j, at most 64.
+    return (((_LIMITS | _TOPS) - bits * _BYTES) & _TOPS) == _TOPS
 
 
 def _entries(bands: Bands, sets: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit key, next word folded to 32 bits, name) of every word of every set, in both its bands."""
+    """(64-bit key, the words that follow, name) of every word of every set, in both its bands."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own = bands.of(sizes)
     out = []
@@ -139,44 +161,75 @@ def _entries(bands: Bands, sets: list[np.ndarray], names: np.ndarray) -> tuple[n
         picked, width, band = [sets[i] for i in some], widths[some], (own[some] + shift).astype(np.uint64)
         words = sketches(np.concatenate(picked), sizes[some], width)
         of = np.repeat(np.arange(len(some)), width)
-        first = np.cumsum(width) - width
-        place = np.arange(len(words)) - first[of]
-        following = words[first[of] + (place + 1) % width[of]]
+        first = (np.cumsum(width) - width)[of]
+        wide, place = width[of], np.arange(len(words)) - first
+        small = _folded(words, 8)
+        chain = np.zeros(len(words), np.uint64)
+        for k in range(1, CHAIN + 1):
+            # A row of fewer words is gone round once, without the word itself.
+            following = small[first + (place + k) % wide]
+            chain |= np.where(k < wide, following, np.uint64(0)) << np.uint64(8 * (k - 1))
         key = _mixed(words + _mixed((band[of] << np.uint64(40)) + place.astype(np.uint64)))
         name = names[some][of]
         light = np.bitwise_count(words) <= 1
-        out.append((key[~light], _folded(following[~light]), name[~light]))
-        key, following, name = key[light], _folded(following[light]), name[light]
+        out.append((key[~light], chain[~light], name[~light]))
+        following = _folded(words[first + (place + 1) % wide], 32)[light]
+        key, chain, name = key[light], chain[light], name[light]
         # The next word as it is, and with each of its bits left out.
         variants = [(np.arange(len(key)), following)]
         for bit in range(32):
-            has = np.flatnonzero((following >> np.uint32(bit)) & np.uint32(1))
-            variants.append((has, following[has] ^ np.uint32(1 << bit)))
+            has = np.flatnonzero((following >> np.uint64(bit)) & np.uint64(1))
+            variants.append((has, following[has] ^ np.uint64(1 << bit)))
         at, value = np.concatenate([v[0] for v in variants]), np.concatenate([v[1] for v in variants])
-        out.append((_mixed(key[at] + _mixed(value.astype(np.uint64) + np.uint64(1))), np.zeros(len(at), np.uint32), name[at]))
+        out.append((_mixed(key[at] + _mixed(value + np.uint64(1))), chain[at], name[at]))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64),) * 3
     return tuple(np.concatenate(column) for column in zip(*out))
 
 
-def _joined(key: np.ndarray, following: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (name, name) of entries with one key whose next words differ in one bit at most."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    same = ordered[1:] == ordered[:-1]
-    order = order[np.append(same, False) | np.insert(same, 0, False)] if len(same) else order[:0]
-    key, following, name = key[order], following[order], name[order]
-    rows = [np.arange(len(key))]
-    values = [following]
-    for bit in range(32):
-        has = np.flatnonzero((following >> np.uint32(bit)) & np.uint32(1))
-        rows.append(has)
-        values.append(following[has] ^ np.uint32(1 << bit))
-    row, value = np.concatenate(rows), np.concatenate(values)
-    order = np.lexsort((value, key[row]))
-    row, value = row[order], value[order]
-    linked = (key[row[1:]] == key[row[:-1]]) & (value[1:] == value[:-1])
-    x, y = name[row[1:][linked]], name[row[:-1][linked]]
+def _reached(chain: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges (index, index) that join what fits in one large group, each entry looked at until it is reached."""
+    open_, x, y = np.arange(len(chain)), [], []
+    while len(open_):
+        waiting, open_ = [open_[0]], open_[1:]
+        while waiting and len(open_):
+            at = waiting.pop()
+            fits = chain_fits(chain[at], chain[open_])
+            if fits.any():
+                near, open_ = open_[fits], open_[~fits]
+                x.append(near)
+                y.append(np.full(len(near), at))
+                waiting += near.tolist()
+    return x, y
+
+
+def _joined(key: np.ndarray, chain: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (name, name) of entries with one key whose chains fit."""
+    order = np.lexsort((chain, key))
+    key, chain, name = key[order], chain[order], name[order]
+    again = np.zeros(len(key), bool)
+    again[1:] = (key[1:] == key[:-1]) & (chain[1:] == chain[:-1])
+    # Entries equal in both join the first of them, which stands for all.
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
+    x, y = [name[again]], [name[head[again]]]
+    key, chain, name = key[~again], chain[~again], name[~again]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    few = first[(size > 1) & (size <= _FEW)]
+    extent = size[(size > 1) & (size <= _FEW)]
+    for step in range(1, _FEW):
+        for start in range(_FEW - step):
+            mine = few[extent > start + step] + start
+            if not len(mine):
+                break
+            fits = chain_fits(chain[mine], chain[mine + step])
+            x.append(name[mine[fits]])
+            y.append(name[mine[fits] + step])
+    for begin, n in zip(first[size > _FEW].tolist(), size[size > _FEW].tolist()):
+        a, b = _reached(chain[begin : begin + n])
+        x += [name[begin + part] for part in a]
+        y += [name[begin + part] for part in b]
+    x, y = np.concatenate(x), np.concatenate(y)
     apart = x != y
     return _star(x[apart], y[apart])
 
@@ -189,13 +242,13 @@ def _star(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[member], nodes[label[member]]
 
 
-def _packed(key: np.ndarray, following: np.ndarray, name: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
+def _packed(key: np.ndarray, chain: np.ndarray, name: np.ndarray, bits: int) -> tuple[list[int], list[bytes]]:
     """Entries per bucket; the bucket are the key's upper ``bits``, the entry keeps 32 more."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     order = np.argsort(bucket, kind="stable")
     entries = np.empty(len(key), _ENTRY)
     entries["key"] = (key[order] >> np.uint64(32 - bits)).astype(np.uint32)
-    entries["next"] = following[order]
+    entries["chain"] = chain[order]
     entries["low"] = name[order].astype(np.uint32)
     entries["high"] = (name[order] >> np.uint64(32)).astype(np.uint16)
     bucket = bucket[order]
@@ -206,11 +259,11 @@ def _packed(key: np.ndarray, following: np.ndarray, name: np.ndarray, bits: int)
 def _unpacked(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     entries = np.concatenate([np.frombuffer(b.as_buffer(), _ENTRY) for b in blobs])
     name = entries["low"].astype(np.uint64) | entries["high"].astype(np.uint64) << np.uint64(32)
-    return entries["key"], entries["next"], name
+    return entries["key"], entries["chain"], name
 
 
 class _Folder:
-    """Entries of a task: those with equal key and next word become one and an edge."""
+    """Entries of a task: those with equal key and chain become one and an edge."""
 
     def __init__(self, bits: int):
         self.bits, self.parts, self.held = bits, [], 0
@@ -222,16 +275,16 @@ class _Folder:
     def flush(self) -> pa.RecordBatch:
         if not self.parts:
             return _batch([], [], *(np.zeros(0, np.uint64),) * 2)
-        key, following, name = (np.concatenate(c) for c in zip(*self.parts))
+        key, chain, name = (np.concatenate(c) for c in zip(*self.parts))
         self.parts, self.held = [], 0
-        order = np.lexsort((following, key))
-        key, following, name = key[order], following[order], name[order]
+        order = np.lexsort((chain, key))
+        key, chain, name = key[order], chain[order], name[order]
         again = np.zeros(len(key), bool)
-        again[1:] = (key[1:] == key[:-1]) & (following[1:] == following[:-1])
+        again[1:] = (key[1:] == key[:-1]) & (chain[1:] == chain[:-1])
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
         x, y = name[again], name[head[again]]
         u, v = _star(x[x != y], y[x != y])
-        buckets, blobs = _packed(key[~again], following[~again], name[~again], self.bits)
+        buckets, blobs = _packed(key[~again], chain[~again], name[~again], self.bits)
         return _batch(buckets, blobs, u, v)
 
 
