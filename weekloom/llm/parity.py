@@ -45,6 +45,8 @@ SET_BYTES = 1 << 24
 AT_ONCE = 1 << 19
 HELD_ENTRIES = 1 << 20
 SEEN_SETS = 1 << 18
+# Digests of chosen texts have at most 2 ** 26 bits.
+MOST_BITS = 26
 # Entries of a bucket that one task joins, on average.
 BUCKET_ENTRIES = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -408,20 +410,44 @@ def _named(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs, run, f"_id {kind}, _t long, _s long, n long, a long, b long")
 
 
-def _once(texts: DataFrame) -> DataFrame:
-    """``texts(_t, _s, _text)``; a task hands a text on once, as long as it remembers its digests."""
+def _bitmap(chosen: DataFrame) -> bytes:
+    """A bit for each ``_t`` of ``chosen``: at most 2 ** ``MOST_BITS`` of them, 8 MB, whatever the table's size."""
+    n = chosen.count()
+    bits = min(MOST_BITS, max(15, (16 * n).bit_length()))
+    place = F.col("_t").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = chosen.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    out = bytearray((1 << bits) // 8)
+    for r in parts.collect():
+        start = (r["part"] - 1) * 4096
+        out[start : start + 4096] = r["bits"]
+    return bytes(out)
+
+
+def _wanted(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``texts(_t, _s, _text)`` that may be in ``chosen``, each once for every task that meets it.
+
+    The bits only spare texts the shuffle of the join that follows: where they are all set, all texts go on.
+    A task remembers ``SEEN_SETS`` digests; a text it has forgotten goes on again.
+    """
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
         seen: set = set()
         for part in batches:
-            if len(seen) >= SEEN_SETS:
-                seen.clear()
+            place = part.column("_t").to_numpy() & (len(bits) * 8 - 1)
+            near = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+            digests = (part.column(c).to_numpy()[near].tolist() for c in ("_t", "_s"))
             new = []
-            for at, key in enumerate(zip(part.column("_t").to_pylist(), part.column("_s").to_pylist())):
+            for at, key in zip(near.tolist(), zip(*digests)):
                 if key not in seen:
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
                     seen.add(key)
                     new.append(at)
-            yield part if len(new) == part.num_rows else part.take(pa.array(new, pa.int64()))
+            yield part.take(pa.array(new, pa.int64()))
 
     return texts.mapInArrow(run, "_t long, _s long, _text string")
 
@@ -449,7 +475,8 @@ def jaccard_groups(
     chosen = write_table(chosen, "candidate-sets")
     volume = chosen.groupBy("root").agg(F.ceil(F.sum("n") * 8 / SET_BYTES).alias("parts"), F.count(F.lit(1)).alias("sets"))
     chosen = chosen.join(volume.where("sets > 1"), "root").select("root", "parts", "node", "_t", "_s")
-    texts = _once(own.select("_t", "_s", "_text")).join(write_table(chosen, "chosen-texts"), ["_t", "_s"])
+    chosen = write_table(chosen, "chosen-texts")
+    texts = _wanted(own.select("_t", "_s", "_text"), chosen).join(chosen, ["_t", "_s"])
     linked = connected_components(_verified(texts.drop("_t", "_s"), size, least))
     grouped = distinct.join(linked, "node", "left").select("a", "b", "_id", "root")
     grouped = write_table(grouped, "grouped-sets")
