@@ -560,6 +560,10 @@ CROSS JOIN {eight}
     "scan_sales": """
 SELECT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS DATE) AS ds, o_totalprice AS value,
        o_orderpriority AS category FROM orders
+""",
+    "scan_workbook": """
+SELECT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS DATE) AS ds, o_totalprice AS value,
+       o_orderpriority AS category FROM orders
 """,
     "validate_columns": "SELECT o_orderpriority, count(*) AS n_rows FROM orders GROUP BY 1",
     "fold_param_override": f"SELECT {_FOLD_COLUMNS} FROM {{short_folds}}",

@@ -44,6 +44,7 @@ from weekloom.session import new_table_path, write_table
 from weekloom.sources import orders as od
 from weekloom.sources import runs as rn
 from weekloom.sources import sales as so
+from weekloom.sources.workbook import write_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +117,22 @@ def _forecasts(spark, d):
 # -- sources ----------------------------------------------------------------------------------
 
 
+@query
+def scan_workbook(spark, d):
+    """All orders written as workbooks, days as native dates and as day-first text by turns, and read back."""
+    day = F.col("o_orderdate").cast("date")
+    text = F.when(F.col("o_orderkey") % 5 < 2, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd-MM-yyyy"))
+    raw = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_custkey").cast("string").alias("State"),
+        text.alias("Date"),
+        F.col("o_totalprice").alias("Total"),
+        F.col("o_orderpriority").alias("Category"),
+    )
+    path = new_table_path(spark, "workbooks")
+    write_workbooks(raw, path, native_dates=("Date",))
+    return so.scan_sales(spark, path, fmt="xlsx")
+
+
 @query
 def scan_sales(spark, d):
     """The stored orders as raw sales of customers; the columns are checked on the way."""

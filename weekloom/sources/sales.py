@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekloom.params import SalesColumns
+from weekloom.sources.workbook import read_workbooks, workbook_files
 
 LOADED_COLUMNS = ("series_id", "ds", "value", "category")
 
@@ -19,11 +20,17 @@ DATE_LAYOUTS = ("d-M-yyyy", "yyyy-M-d", "d/M/yyyy", "yyyy-M-d H:m:s")
 SERIAL_DAY_ZERO = "1899-12-30"
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read Parquet, ORC or CSV (all text, header row) as it is; the format follows the suffix."""
+def read_raw(spark: SparkSession, path: str, fmt: str | None = None, sheet: str | None = None) -> DataFrame:
+    """Read Parquet, ORC, CSV or workbooks (the latter two all text, header row) as they are.
+
+    The format follows the suffix. ``sheet`` names a workbook's sheet, * all; else the first is read.
+    """
     fmt = fmt or (path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path else "parquet")
-    if fmt not in ("parquet", "orc", "csv"):
-        raise ValueError(f"unsupported format {fmt!r}: export the sheet to csv or parquet")
+    if fmt not in ("parquet", "orc", "csv", "xlsx"):
+        raise ValueError(f"unsupported format {fmt!r}: parquet, orc, csv and xlsx are read")
+    if fmt == "xlsx":
+        workbook_files(path)  # a missing file is told here, not from inside a job
+        return read_workbooks(spark, path, sheet)
     reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
     try:
         return reader.format(fmt).load(path)
@@ -91,10 +98,11 @@ def scan_sales(
     columns: SalesColumns | None = None,
     fmt: str | None = None,
     strict_dates: bool = True,
+    sheet: str | None = None,
 ) -> DataFrame:
     """Load a raw sales table: check the columns, repair dates, type the target."""
     columns = columns or SalesColumns()
-    raw = validate_columns(read_raw(spark, path, fmt), columns.required)
+    raw = validate_columns(read_raw(spark, path, fmt, sheet), columns.required)
     typed = cast_target(parse_mixed_dates(raw, columns.date_col, strict_dates), columns.target_col)
     return typed.select(
         series_key(*columns.groups).alias("series_id"),
