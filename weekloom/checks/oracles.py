@@ -525,6 +525,29 @@ FROM {train} WINDOW f AS (PARTITION BY series_id, fold)
 """,
 )
 
+# One split of the months, by gradients g = mean - y with unit curvatures: alpha 0.5, lambda 2, 3 rows a leaf.
+_SOFT = "(sign({0}) * greatest(abs({0}) - 0.5, 0))"
+step(
+    "month_targets",
+    """
+SELECT a.fold, h, month(a.week_end) AS m, b.s AS y, avg(b.s) OVER (PARTITION BY a.fold, h) AS base
+FROM (SELECT s.*, week_end FROM {mean_scaled} s JOIN {train} USING (series_id, fold, t)) a CROSS JOIN {eight}
+JOIN {mean_scaled} b ON b.series_id = a.series_id AND b.fold = a.fold AND b.t = a.t + h
+""",
+)
+step(
+    "month_cuts",
+    f"""
+SELECT fold, h, base, cut, -{_SOFT.format("gl")} / (hl + 2) AS low, -{_SOFT.format("gr")} / (hr + 2) AS high,
+       pow({_SOFT.format("gl")}, 2) / (hl + 2) + pow({_SOFT.format("gr")}, 2) / (hr + 2)
+       - pow({_SOFT.format("(gl + gr)")}, 2) / (hl + hr + 2) AS gain
+FROM (SELECT fold, h, base, cut, sum(base - y) FILTER (m <= cut) AS gl, sum(base - y) FILTER (m > cut) AS gr,
+             count(*) FILTER (m <= cut) AS hl, count(*) FILTER (m > cut) AS hr
+      FROM {{month_targets}} CROSS JOIN (SELECT unnest(generate_series(1, 11)) AS cut) GROUP BY ALL)
+WHERE hl >= 3 AND hr >= 3
+""",
+)
+
 _GRAM_TERMS = ("1.0::DOUBLE", "lag_1", "lag_7", "lag_30", "y")
 step(
     "millions",
@@ -556,6 +579,12 @@ SELECT series_id, fold, CAST(h AS INTEGER) AS h, round(mean * scale / 1e6, 3) AS
 FROM (SELECT DISTINCT series_id, fold, scale FROM {mean_scaled})
 JOIN (SELECT fold, avg(s) AS mean FROM {mean_scaled} CROSS JOIN {eight} WHERE t >= 30 + h GROUP BY 1) USING (fold)
 CROSS JOIN {eight}
+""",
+    "fc_boosted_stump": """
+SELECT series_id, fold, CAST(h AS INTEGER) AS h,
+       round(scale * (base + CASE WHEN gain <= 1e-9 THEN 0 WHEN month(week_end) <= cut THEN low ELSE high END) / 1e6, 3) AS yhat
+FROM (SELECT series_id, fold, max(week_end) AS week_end, avg(abs(y)) AS scale FROM {train} GROUP BY 1, 2)
+JOIN (SELECT * FROM {month_cuts} QUALIFY row_number() OVER (PARTITION BY fold, h ORDER BY gain DESC, cut) = 1) USING (fold)
 """,
     "scan_sales": """
 SELECT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS DATE) AS ds, o_totalprice AS value,

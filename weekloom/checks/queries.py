@@ -13,8 +13,8 @@ from weekloom.checks.stand_ins import STAND_INS, stand_in_forecasts
 from weekloom.forecasters.additive import fc_additive as additive_forecast
 from weekloom.forecasters.arima import fc_arima as arima_forecast
 from weekloom.forecasters.arima import differencing_order, fit_arima
-from weekloom.forecasters.boosted import direct_rows, fit_first_week
-from weekloom.forecasters.boosted import explain_boosted as explain_trees
+from weekloom.forecasters.boosted import direct_rows, fit_trees
+from weekloom.forecasters.boosted import explain_trees as explain_forest
 from weekloom.forecasters.boosted import fc_boosted_direct as boosted_forecast
 from weekloom.forecasters.boosted import tune_boosted as tune_trees
 from weekloom.forecasters.gram import gram_sums
@@ -29,7 +29,7 @@ from weekloom.operators import selection as sl
 from weekloom.operators import windows as wd
 from weekloom.params import (
     BoostedParams,
-    EnsembleParams,
+    FeatureParams,
     FoldParams,
     ModelParams,
     AdditiveParams,
@@ -831,17 +831,16 @@ def fc_recurrent(spark, d):
 
 @query
 def tune_boosted(spark, d):
-    trials = [replace(QUICK, max_depth=depth, learning_rate=rate) for depth, rate in ((2, 0.1), (3, 0.3))]
-    return tune_trees(_nation_folds(spark, d), 8, QUICK, trials=trials)
+    """Two passes of trials over the whole search ranges; only the patience is short."""
+    p = replace(QUICK, n_trials=12, trials_at_once=6, first_rung=2, early_stopping_rounds=3)
+    return tune_trees(_nation_folds(spark, d), 8, p)
 
 
 @query
 def explain_boosted(spark, d):
-    """Contribution of every feature to every weekly forecast of every nation."""
-    history = fd.full_history(_nation_panel(spark, d))
-    rows = direct_rows(history, 1, FEATURES)
-    model = fit_first_week(rows, replace(QUICK, per_horizon=True), FEATURES, fd.REFIT_FOLD)
-    return explain_trees(model, rows.targets, ("series_id", "t"), FEATURES, permutations=1)
+    """Contribution of every feature to every weekly forecast of every nation, exact for these trees."""
+    rows = direct_rows(fd.full_history(_nation_panel(spark, d)), 1, FEATURES)
+    return explain_forest(fit_trees(rows, QUICK, FEATURES, fd.REFIT_FOLD), rows.targets, ("series_id", "t"))
 
 
 @query
@@ -852,13 +851,11 @@ def cv_run(spark, d):
 
 @query
 def refit_full(spark, d):
-    """The two models that learn each series on its own, chosen by cross-validation."""
+    """The two best of the four models per nation, chosen by cross-validation."""
     panel = write_table(_nation_panel(spark, d), "panel")
-    models = tr.LOCAL_MODELS
-    predictions = tr.cv_run(fd.walk_forward_folds(panel), QUICK_SETTINGS, models)
-    one = EnsembleParams(top_k=1)
-    weights = write_table(sl.weigh_models(sl.score_forecast(predictions), one, models), "weights")
-    return tr.refit_full(panel, weights, QUICK_SETTINGS, models)
+    predictions = write_table(tr.cv_run(fd.walk_forward_folds(panel), QUICK_SETTINGS), "predictions")
+    weights = write_table(sl.weigh_models(sl.score_forecast(predictions)), "weights")
+    return tr.refit_full(panel, weights, QUICK_SETTINGS)
 
 
 @query
@@ -907,13 +904,20 @@ def fc_boosted_mean(spark, d):
     return _in_millions(boosted_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
 
 
+@query
+def fc_boosted_stump(spark, d):
+    """One split with penalised leaves: the cut of the year, and the leaf weights, that gain most."""
+    p = BoostedParams(n_estimators=1, max_depth=1, learning_rate=1.0, subsample=1.0, colsample=1.0, reg_alpha=0.5, reg_lambda=2.0)
+    seasons = FeatureParams(lags=(), rolling_windows=(), time_features=("month", "quarter"), holidays=False, fourier_terms=0)
+    return _in_millions(boosted_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p, seasons))
+
+
 @query
 def explain_efficiency(spark, d):
-    """What the Shapley values of a week leave of its prediction less the mean of its background."""
+    """What the Shapley values of a week leave of its prediction less the one with nothing known."""
     history = fd.full_history(_nation_panel(spark, d))
     rows = direct_rows(history, 1, FEATURES)
-    model = fit_first_week(rows, replace(QUICK, per_horizon=True), FEATURES, fd.REFIT_FOLD)
-    explained = explain_trees(model, rows.targets, ("series_id", "t"), FEATURES, permutations=1)
+    explained = explain_forest(fit_trees(rows, QUICK, FEATURES, fd.REFIT_FOLD), rows.targets, ("series_id", "t"))
     left = F.sum("shapley") - (F.first("prediction") - F.first("base"))
     sums = explained.groupBy("series_id", "t").agg(F.count(F.lit(1)).alias("n_features"), (F.round(left, 6) + 0.0).alias("left_over"))
     return sums.withColumn("left_over", F.abs("left_over"))
