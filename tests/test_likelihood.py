@@ -1,0 +1,87 @@
+"""The batched Kalman filter against dense covariances, and what maximum likelihood recovers."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from helpers import forecasts, history
+from weekloom.forecasters import likelihood as lk
+from weekloom.forecasters.arima import fc_arima, fit_arima, walked_orders
+from weekloom.params import ArimaParams
+
+
+def _dense(z, ar, ma):
+    """Log-likelihood from the covariance matrix of the whole series, by a long moving average."""
+    n, long = len(z), 4000
+    psi = np.zeros(long)
+    for k in range(long):
+        psi[k] = (1.0 if k == 0 else 0.0) + (ma[k - 1] if 0 < k <= len(ma) else 0.0)
+        psi[k] += sum(a * psi[k - i] for i, a in enumerate(ar, 1) if k >= i)
+    gamma = np.array([psi[: long - h] @ psi[h:] for h in range(n)])
+    cov = gamma[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    s = z @ np.linalg.solve(cov, z) / n
+    return -0.5 * (n * (np.log(2 * np.pi * s) + 1) + np.linalg.slogdet(cov)[1])
+
+
+@pytest.mark.parametrize("ar,ma", [((), ()), ((0.7,), ()), ((), (0.5, -0.3)), ((0.5, 0.2), (0.4,)), ((0.3, 0, 0, 0.5), (0.2, 0, 0, -0.6))])
+def test_filter_is_the_dense_likelihood(ar, ma):
+    rng = np.random.default_rng(1)
+    series = [rng.normal(size=n) for n in (40, 25, 40)]
+    rows = [np.tile(np.array(c, float), (3, 1)) for c in (ar, ma)]
+    got = lk.kalman(lk.padded(series), *rows)[0]
+    np.testing.assert_allclose(got, [_dense(z, ar, ma) for z in series], rtol=1e-8)
+
+
+def _simulated(ar, ma, n, seed):
+    rng = np.random.default_rng(seed)
+    e, z = rng.normal(size=n + 500), np.zeros(n + 500)
+    for t in range(n + 500):
+        z[t] = e[t] + sum(a * z[t - i] for i, a in ar.items() if t >= i) + sum(b * e[t - i] for i, b in ma.items() if t >= i)
+    return z[500:]
+
+
+def test_parameters_are_recovered():
+    cases = [({1: 0.8}, {}, (1, 0, 0, 0)), ({}, {1: 0.6}, (0, 1, 0, 0)), ({1: 0.5, 2: 0.3}, {1: -0.4}, (2, 1, 0, 0))]
+    series = [_simulated(ar, ma, 1500, k) for k, (ar, ma, _) in enumerate(cases)]
+    shape = lk.Shape(np.array([o for _, _, o in cases]), 52)
+    u, value = lk.maximise(lk.padded(series), shape)
+    ar, ma = shape.polynomials(u)
+    for k, (want_ar, want_ma, _) in enumerate(cases[:2]):
+        np.testing.assert_allclose(ar[k], [want_ar.get(i + 1, 0.0) for i in range(ar.shape[1])], atol=0.08)
+        np.testing.assert_allclose(ma[k], [want_ma.get(i + 1, 0.0) for i in range(ma.shape[1])], atol=0.08)
+    # No worse than the truth, which for the last case the estimates need not come close to.
+    for k, (want_ar, want_ma, _) in enumerate(cases):
+        true = [np.array([[c.get(i, 0.0) for i in range(1, 3)]]) for c in (want_ar, want_ma)]
+        assert value[k] >= lk.kalman(series[k][None], *true)[0][0] - 1e-3
+
+
+def test_seasonal_terms_multiply():
+    z = _simulated({1: 0.5, 6: 0.6, 7: -0.3}, {}, 900, 4)
+    shape = lk.Shape(np.array([(1, 0, 1, 0)]), 6)
+    u, _ = lk.maximise(z[None], shape)
+    ar, _ = shape.polynomials(u)
+    np.testing.assert_allclose(ar[0], [0.5, 0, 0, 0, 0, 0.6, -0.3], atol=0.08)
+
+
+def test_walk_finds_the_lowest_order_in_reach():
+    p = ArimaParams(max_p=8, max_q=8)
+    seen = walked_orders(p, True, lambda o: (o[0] - 6) ** 2 + (o[1] - 1) ** 2 + o[2] + o[3])
+    assert (6, 1, 0, 0) in seen and len(seen) < 70
+    assert all(o[2] == o[3] == 0 for o in walked_orders(p, False, lambda o: 1.0))
+
+
+def test_forecasts_by_likelihood(spark):
+    n = 200
+    ma = _simulated({}, {1: 0.8}, n, 9)
+    series = {"ma": 50 + ma, "ar": 50 + _simulated({1: 0.9}, {}, n, 10), "short": [1.0, 2.0, 3.0], "flat": [5.0] * n}
+    p = ArimaParams(max_p=4, max_q=4, max_d=0, seasonal=False, stepwise=True, likelihood=True)
+    fitted = {r.series_id: r for r in fit_arima(history(spark, series), 8, p).collect()}
+    assert fitted["ma"].loglik < 0 and fitted["ma"].n_rows == n and fitted["ma"].order.endswith("(0,0)")
+    assert fitted["short"].yhat is None and fitted["short"].error
+    assert fitted["flat"].yhat is None or np.allclose(fitted["flat"].yhat, 5.0)
+    got = forecasts(fc_arima(history(spark, {k: series[k] for k in ("ma", "ar")}), 8, p))
+    # A moving average of order one is back at its mean after one week, an autoregression decays.
+    assert abs(got["ma"][7] - np.mean(series["ma"])) < 0.6
+    level = np.mean(series["ar"])
+    assert abs(got["ar"][7] - level) < abs(got["ar"][0] - level) + 0.3

@@ -579,6 +579,16 @@ SELECT series_id, fold, CAST(h AS INTEGER) AS h, round(mean * scale / 1e6, 3) AS
 FROM (SELECT DISTINCT series_id, fold, scale FROM {mean_scaled})
 JOIN (SELECT fold, avg(s) AS mean FROM {mean_scaled} CROSS JOIN {eight} WHERE t >= 30 + h GROUP BY 1) USING (fold)
 CROSS JOIN {eight}
+""",
+    "arima_likelihood": """
+SELECT series_id, fold, CAST(n AS INTEGER) AS n_rows,
+       round(-n / 2.0::DOUBLE * (ln(2 * pi() * s / n) + 1) + 0.5::DOUBLE * ln(0.64::DOUBLE), 5) AS loglik
+FROM (SELECT series_id, fold, count(*) AS n,
+             sum(CASE WHEN z0 IS NULL THEN 0.64::DOUBLE * z * z ELSE pow(z - 0.6::DOUBLE * z0, 2) END) AS s
+      FROM (SELECT *, lag(z) OVER (PARTITION BY series_id, fold ORDER BY t) AS z0
+            FROM (SELECT series_id, fold, t, (y - avg(y) OVER f) / stddev_samp(y) OVER f AS z
+                  FROM {train} WINDOW f AS (PARTITION BY series_id, fold)))
+      GROUP BY 1, 2)
 """,
     "fc_boosted_stump": """
 SELECT series_id, fold, CAST(h AS INTEGER) AS h,

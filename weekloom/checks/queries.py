@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weekloom.checks.stand_ins import STAND_INS, stand_in_forecasts
 from weekloom.forecasters.additive import fc_additive as additive_forecast
 from weekloom.forecasters.arima import fc_arima as arima_forecast
-from weekloom.forecasters.arima import differencing_order, fit_arima
+from weekloom.forecasters.arima import arma_likelihood, differencing_order, fit_arima
 from weekloom.forecasters.boosted import direct_rows, fit_trees
 from weekloom.forecasters.boosted import explain_trees as explain_forest
 from weekloom.forecasters.boosted import fc_boosted_direct as boosted_forecast
@@ -883,6 +883,20 @@ def fc_arima_one_lag(spark, d):
     return _in_millions(arima_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
 
 
+@query
+def arima_likelihood(spark, d):
+    """The exact likelihood of a first-order autoregression with coefficient 0.6 on the standardised weeks."""
+    rows = fd.training_rows(_nation_folds(spark, d))
+    return rounded(arma_likelihood(rows, (0.6,), p=ArimaParams(max_d=0)), 5)
+
+
+@query
+def fc_arima_likelihood(spark, d):
+    """Orders walked step by step up to the usual bounds and fitted by maximum likelihood."""
+    p = ArimaParams(max_p=5, max_q=5, seasonal=False, stepwise=True, likelihood=True)
+    return arima_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p)
+
+
 @query
 def fc_additive_line(spark, d):
     """Neither changepoints nor seasons nor penalties: the least-squares line over time."""

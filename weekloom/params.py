@@ -103,6 +103,10 @@ class ArimaParams:
     # Weeks wanted behind the longest lag before seasonal orders are tried.
     seasonal_rows: int = 12
     kpss_critical: float = 0.463
+    # Walk from order to neighbouring order instead of trying all up to the bounds, which may then be large.
+    stepwise: bool = False
+    # Fit the chosen order again by maximum likelihood.
+    likelihood: bool = False
 
 
 @dataclass(frozen=True)
