@@ -32,7 +32,7 @@ def test_missing_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         so.scan_sales(spark, str(tmp_path / "none.csv"))
     with pytest.raises(ValueError, match="unsupported format"):
-        so.scan_sales(spark, str(tmp_path / "sales.xlsx"))
+        so.scan_sales(spark, str(tmp_path / "sales.ods"))
 
 
 def test_missing_columns(spark):
@@ -110,6 +110,46 @@ def test_write_run_twice_leaves_one_copy(spark, tmp_path):
         rn.write_run(root, "v", {"models": _weights(spark)})
 
 
+def _named(spark, value):
+    return spark.createDataFrame([("a", value)], "series_id string, value int")
+
+
+def test_a_writer_that_dies_leaves_the_old_run(spark, tmp_path):
+    root, version = str(tmp_path), "v20240101_000000"
+    rn.write_run(root, version, {"weights": _named(spark, 1), "forecasts": _named(spark, 1)})
+    broken = _named(spark, 2).withColumn("value", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        rn.write_run(root, version, {"weights": _named(spark, 2), "forecasts": broken})
+    for table in ("weights", "forecasts"):
+        assert rn.read_run(spark, root, table, version).first().value == 1
+    assert rn.verify_run(spark, root, version) == []
+    with pytest.raises(ValueError, match="no committed table"):
+        rn.read_run(spark, root, "skipped", version)
+    with pytest.raises(ValueError, match="no committed table"):
+        rn.read_run(spark, root, "weights", "v2")
+
+
+def test_two_writers_of_a_version_do_not_mix(spark, tmp_path, monkeypatch):
+    """A second writer commits while the first is between two tables."""
+    root, version, files = str(tmp_path), "v1", rn._files
+    inner = []
+
+    def late(*args):
+        if not inner:
+            inner.append(True)
+            rn.write_run(root, version, {"weights": _named(spark, 2), "forecasts": _named(spark, 2)})
+        return files(*args)
+
+    monkeypatch.setattr(rn, "_files", late)
+    rn.write_run(root, version, {"weights": _named(spark, 1), "forecasts": _named(spark, 1)})
+    assert [rn.read_run(spark, root, t, version).first().value for t in ("weights", "forecasts")] == [1, 1]
+    # The replaced attempt is gone, the other is whole.
+    assert spark.read.parquet(f"{root}/weights").count() == 1 and rn.verify_run(spark, root, version) == []
+    lost = next(iter((tmp_path / "forecasts").rglob("part-*.parquet")))
+    lost.write_bytes(lost.read_bytes() + b"x")
+    assert rn.verify_run(spark, root, version) == ["forecasts"]
+
+
 def test_latest_version(spark, tmp_path):
     root = str(tmp_path)
     n = spark.range(1).select(F.lit(3).alias("n_series"))

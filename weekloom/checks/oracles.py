@@ -439,6 +439,15 @@ SELECT series_id, h, ds, round(yhat, 2) AS yhat,
 FROM {ensemble}
 """,
 )
+step(
+    "moved",
+    """
+SELECT series_id, h, ds, sum(weight * yhat) / sum(weight) AS yhat, sum(weight * (yhat + e)) / sum(weight) AS band
+FROM {forecasts} JOIN {weights} USING (series_id, model)
+JOIN (SELECT series_id, model, avg(y_true - yhat) AS e FROM {predictions} GROUP BY 1, 2) USING (series_id, model)
+WHERE selected AND yhat IS NOT NULL GROUP BY 1, 2, 3
+""",
+)
 step(
     "averages",
     "SELECT series_id, model, avg(rmse) AS rmse, avg(mae) AS mae, avg(mape) AS mape, "
@@ -633,6 +642,11 @@ WHERE t >= 30 AND t < last
 """,
     "fc_additive_line": """
 SELECT series_id, fold, CAST(h AS INTEGER) AS h, round((a + b * (n - 1 + h)) / 1e6, 3) AS yhat
+FROM (SELECT series_id, fold, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(t) + 1 AS n
+      FROM {train} GROUP BY 1, 2) CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS h)
+""",
+    "fc_additive_sparse": """
+SELECT series_id, fold, CAST(h AS INTEGER) AS h, round((a + b * (n - 1 + h)) / 1e6, 3) AS yhat
 FROM (SELECT series_id, fold, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(t) + 1 AS n
       FROM {train} GROUP BY 1, 2) CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS h)
 """,
@@ -864,6 +878,9 @@ FROM (SELECT version, n_series, CAST(floor(floor(epoch(TIMESTAMP '2024-04-01 12:
     "ensemble_forecast": "SELECT series_id, h, ds, round(yhat, 2) AS yhat, round(sigma, 2) AS sigma "
     "FROM {ensemble}",
     "forecast_bands": "SELECT * FROM {bands}",
+    "bootstrap_bands": """
+SELECT series_id, h, ds, round(yhat, 2) AS yhat, round(band, 2) AS yhat_lower, round(band, 2) AS yhat_upper FROM {moved}
+""",
     "forecast_breakdown": """
 SELECT series_id, model, round(weight, 8) AS weight, h, ds, round(yhat, 2) AS yhat
 FROM {forecasts} JOIN {weights} USING (series_id, model) WHERE selected

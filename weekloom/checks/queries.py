@@ -661,6 +661,15 @@ def breakdown_table(spark, d):
     return rounded(rp.breakdown_table(_forecasts(spark, d), _weights(spark, d), STAND_INS), 2)
 
 
+@query
+def bootstrap_bands(spark, d):
+    """Every model with one residual, its mean: all paths are the ensemble moved by the weighted means."""
+    predictions = _cv_predictions(spark, d)
+    mean = predictions.groupBy("series_id", "model").agg(F.avg(F.col("y_true") - F.col("yhat")).alias("y_true"))
+    one = mean.withColumn("yhat", F.lit(0.0))
+    return rp.bootstrap_bands(_forecasts(spark, d), _weights(spark, d), one)
+
+
 @query
 def forecast_kpis(spark, d):
     bands = rp.forecast_bands(rp.ensemble_forecast(_forecasts(spark, d), _weights(spark, d)))
@@ -883,6 +892,13 @@ def fc_arima_one_lag(spark, d):
     return _in_millions(arima_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
 
 
+@query
+def fc_additive_sparse(spark, d):
+    """Changes of slope so heavily penalised that none is left: the least-squares line again."""
+    p = AdditiveParams(yearly_seasonality=False, holidays=False, changepoints=25, trend_penalty=0.0, changepoint_l1=1e6)
+    return _in_millions(additive_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p))
+
+
 @query
 def arima_likelihood(spark, d):
     """The exact likelihood of a first-order autoregression with coefficient 0.6 on the standardised weeks."""

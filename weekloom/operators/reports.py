@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weekloom.functions.metrics import METRICS
 from weekloom.functions.text import normalized_name
 from weekloom.operators.selection import model_ordinal
-from weekloom.params import MODEL_ORDER
+from weekloom.params import MODEL_ORDER, ForecastParams
 
 
 def find_series(df: DataFrame, name: str) -> DataFrame:
@@ -70,6 +70,66 @@ def forecast_bands(ensemble: DataFrame, z: float = 1.96) -> DataFrame:
     )
 
 
+def bootstrap_bands(
+    forecasts: DataFrame,
+    weights: DataFrame,
+    predictions: DataFrame,
+    share: float = 0.9,
+    paths: int = 1000,
+    seed: int = 42,
+) -> DataFrame:
+    """Forecast points with bands of the middle ``share`` of ``paths`` paths, 2 decimals.
+
+    On a path each selected model's forecast of a week is moved by one of the residuals it had in
+    cross-validation of that series, drawn by a hash of series, model, week, path and seed: the same on every
+    run and on every task. Paths are arrays inside the row of a week, bounded by ``paths``, and are never shuffled.
+    A selected model without a forecast or without a residual drops out, as in ``ensemble_forecast``.
+    """
+    chosen = weights.where("selected").select("series_id", "model", "weight")
+    missed = predictions.select("series_id", "model", (F.col("y_true") - F.col("yhat")).alias("e")).where("e IS NOT NULL")
+    # Sorted, so that the draws do not depend on the order in which the rows came.
+    residuals = missed.groupBy("series_id", "model").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    usable = forecasts.where(F.col("yhat").isNotNull()).join(chosen, ["series_id", "model"]).join(residuals, ["series_id", "model"])
+    parts = F.array_sort(F.collect_list(F.struct("model", "weight", "yhat", "e")))
+    weeks = usable.groupBy("series_id", "h", "ds").agg(parts.alias("_m"), F.sum("weight").alias("_w"))
+
+    def path(number: Column) -> Column:
+        def moved(total: Column, m: Column) -> Column:
+            draw = F.pmod(F.xxhash64("series_id", m["model"], "h", number, F.lit(seed)), F.size(m["e"]))
+            return total + m["weight"] * (m["yhat"] + F.get(m["e"], draw.cast("int")))
+
+        return F.aggregate("_m", F.lit(0.0), moved) / F.col("_w")
+
+    drawn = weeks.withColumns(
+        {
+            "yhat": F.aggregate("_m", F.lit(0.0), lambda total, m: total + m["weight"] * m["yhat"]) / F.col("_w"),
+            "_p": F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(paths)), path)),
+        }
+    )
+
+    def percentile(q: float) -> Column:
+        place = q * (paths - 1)
+        low = int(place)
+        a, b = F.get("_p", F.lit(low)), F.get("_p", F.lit(min(low + 1, paths - 1)))
+        return a + (place - low) * (b - a)
+
+    return drawn.select(
+        "series_id",
+        "h",
+        "ds",
+        F.round("yhat", 2).alias("yhat"),
+        F.round(percentile((1 - share) / 2), 2).alias("yhat_lower"),
+        F.round(percentile((1 + share) / 2), 2).alias("yhat_upper"),
+    )
+
+
+def banded_forecast(forecasts: DataFrame, weights: DataFrame, predictions: DataFrame, p: ForecastParams = ForecastParams()) -> DataFrame:
+    """The ensemble with the kind of band the settings name."""
+    if p.band == "bootstrap":
+        return bootstrap_bands(forecasts, weights, predictions, p.band_share, p.paths, p.seed)
+    return forecast_bands(ensemble_forecast(forecasts, weights, trained_horizon=p.horizon_weeks), p.z)
+
+
 def forecast_breakdown(forecasts: DataFrame, weights: DataFrame) -> DataFrame:
     """Forecast of each selected model by week, with its weight."""
     chosen = weights.where("selected").select("series_id", "model", "weight")

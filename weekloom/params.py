@@ -118,6 +118,9 @@ class AdditiveParams:
     changepoint_range: float = 0.8
     trend_penalty: float = 4e-4
     changepoint_penalty: float = 4.0
+    # Above zero, changes of slope are penalised by their absolute value times this instead of their square, so
+    # that most are exactly zero.
+    changepoint_l1: float = 0.0
     seasonality_penalty: float = 1e-4
 
 
@@ -175,6 +178,17 @@ class EnsembleParams:
 class ForecastParams:
     horizon_weeks: int = 8
     z: float = 1.96
+    # "normal" gives bands of z * sigma * sqrt(h), "bootstrap" percentiles over paths of drawn residuals.
+    band: str = "normal"
+    band_share: float = 0.9
+    paths: int = 1000
+    seed: int = 42
+
+    def __post_init__(self):
+        if self.band not in ("normal", "bootstrap"):
+            raise ValueError(f"unknown band {self.band!r}")
+        if not 0 < self.band_share < 1 or self.paths < 2:
+            raise ValueError("band_share lies between 0 and 1, paths are two or more")
 
 
 @dataclass(frozen=True)
