@@ -319,6 +319,16 @@ def test_redaction(docs):
     assert texts[6] == LONG and secret_scan.redact("abcdef", [("a", 1, 3), ("b", 2, 4)], "*") == "a*ef"
 
 
+def test_copies_of_one_row_are_spread(spark):
+    row = (None, PASSAGE.encode())
+    df = spark.createDataFrame([row] * 3000 + [(i, b"text %d" % i) for i in range(6000)], "_id long, _text binary")
+    sizes = [r["count"] for r in substring._dealt(df, 30).groupBy("chunk").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 2 * 300
+    docs = spark.createDataFrame([(None, PASSAGE)] * 40 + [(1, PASSAGE + " end")], "doc_id long, text string")
+    got = substring.remove_repeats(docs, chunk_bytes=2000).collect()
+    assert len(got) == 41 and all(r["n_removed"] == 60 for r in got)
+
+
 # -- licenses -------------------------------------------------------------------------------------
 
 
@@ -353,7 +363,7 @@ def test_set_join_is_exact(spark):
     vocabulary = frozenset(w for _, t in licenses.TEMPLATES for w in licenses._words(t.encode()))
     frequency = licenses.word_frequencies(df, "text", vocabulary)
     assert frequency[b"the"] == sum(licenses._words(t.encode()).count(b"the") for t in texts)
-    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df, phrases=()).collect()}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df, phrases=(), names=()).collect()}
     for i, text in enumerate(texts):
         blocks = [set(licenses._words(b.encode())) for p in text.split("\n\n") for b in (p, *p.split("\n"))]
         want = set()
@@ -364,6 +374,36 @@ def test_set_join_is_exact(spark):
         assert got[i] == ",".join(sorted(want)), text
 
 
+LICENSE_LINES = {
+    "Released under the BSD License": "",
+    "Released under the GPL License": "",
+    "This work is licensed under the GNU Lesser General Public License, version 2": "",
+    "This work is licensed under the GNU Lesser General Public License, version 3": "",
+    "Licensed under CC BY-SA 4.0": "",
+    "Licensed under CC BY 4.0": "",
+    "Licensed under CC BY-NC-ND 4.0": "",
+    "Licensed under the X License, Version 2.0": "",
+    "Released under the MIT License": "mit",
+    "Released under an MIT License": "mit",
+    "Licensed under the Apache License, Version 2.0": "apache-2",
+    "This work is licensed under the GNU General Public License, version 3": "gpl-3",
+    "Licensed under CC BY-NC 4.0": "cc-by-nc",
+}
+
+
+def test_a_license_is_named_by_its_own_words(spark):
+    lines = list(LICENSE_LINES)
+    df = spark.createDataFrame([(i, f"Some text.\n{line}\nMore of it.") for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {lines[r["doc_id"]]: r["labels"] for r in licenses.scan_licenses(df, phrases=()).collect()}
+    assert got == LICENSE_LINES
+    # Every notice of the templates is found as it stands, under its own label and no other.
+    for (label, text), (named, barred) in zip(licenses.TEMPLATES, licenses.NAMES, strict=True):
+        words = set(licenses._words(text.encode()))
+        assert {w.encode() for w in named.split()} <= words and not {w.encode() for w in barred.split()} & words
+        one = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), phrases=())
+        assert one.first()["labels"] == label
+
+
 # -- language ID ----------------------------------------------------------------------------------
 
 

@@ -172,11 +172,14 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
     def identify(texts):
         return pd.DataFrame([predict_text(shared.value, t) for t in texts], columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_identified", identify(F.col(text_col)))
+    held = "_identified"
+    while held in docs.columns:
+        held += "_"
+    found = docs.withColumn(held, identify(F.col(text_col)))
     return found.select(
         *docs.columns,
-        F.col("_identified.lang_pred").alias(f"{prefix}lang_pred"),
-        F.col("_identified.score").alias(f"{prefix}score"),
+        F.col(f"{held}.lang_pred").alias(f"{prefix}lang_pred"),
+        F.col(f"{held}.score").alias(f"{prefix}score"),
     )
 
 

@@ -1,8 +1,9 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
 Blocks are the lines of a text and its paragraphs (lines up to an empty one), as sets of words. A block
-matches a template when it has at least ``containment`` of the template's distinct words. The join is
-exact and filtered in the usual order:
+matches a template when it has at least ``containment`` of the template's distinct words, among them all
+that name the license, and none that names a relative of it: "the BSD License" is no MIT notice, however
+many words they share. The join is exact and filtered in the usual order:
 
 - global order: template words are sorted by their frequency in the whole corpus, rarest first, which one
   pass counts (a partial count per task and word, of the templates' words only);
@@ -71,6 +72,20 @@ TEMPLATES = (
     ),
 )
 
+# Fixed values, one line per template: words that name the license, words that name another one.
+NAMES = (
+    ("mit", ""),
+    ("permission granted software restriction", ""),
+    ("apache 2", ""),
+    ("applicable writing basis", ""),
+    ("gnu general public 3", "lesser affero"),
+    ("gnu general public", "lesser affero"),
+    ("cc by nc", "sa nd"),
+    ("creative commons noncommercial", "sharealike noderivatives"),
+    ("redistribution source binary forms", ""),
+    ("mozilla public 2", ""),
+)
+
 # Upper case to lower case, and everything ASCII that is neither a letter nor a digit to a blank.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() and chr(c).isascii() else 32 for c in range(256)
@@ -88,17 +103,23 @@ class Template:
     label: str
     words: tuple[bytes, ...]  # distinct, rarest first
     need: int
+    named: frozenset[bytes] = frozenset()
+    barred: frozenset[bytes] = frozenset()
 
 
 def order_templates(
-    templates: Sequence[tuple[str, str]], frequency: dict[bytes, int], containment: float
+    templates: Sequence[tuple[str, str]],
+    frequency: dict[bytes, int],
+    containment: float,
+    names: Sequence[tuple[str, str]] = (),
 ) -> list[Template]:
     out = []
-    for label, text in templates:
+    for number, (label, text) in enumerate(templates):
+        named, barred = (frozenset(_words(n.encode())) for n in (names[number] if names else ("", "")))
         words = sorted(set(_words(text.encode())), key=lambda w: (frequency.get(w, 0), w))
         need = math.ceil(containment * len(words) - 1e-9)
         if words:
-            out.append(Template(label, tuple(words), need))
+            out.append(Template(label, tuple(words), need, named, barred))
     return out
 
 
@@ -125,7 +146,7 @@ class Matcher:
             if len(block) < t.need or len(t.words) - position < t.need:
                 continue
             share = sum(w in block for w in t.words[position:])
-            if share >= t.need:
+            if share >= t.need and t.named <= block and not t.barred & block:
                 found[t.label] = max(found.get(t.label, 0.0), share / len(t.words))
         return found
 
@@ -194,14 +215,17 @@ def scan_licenses(
     containment: float = CONTAINMENT,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES,
+    names: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` per row.
 
-    The score is 1 where a phrase stands, else the best containment of a matching template, else 0.
+    The score is 1 where a phrase stands, else the best containment of a matching template, else 0. ``names``
+    are the words that name, and that exclude, each template; templates of one's own have none unless given.
     """
+    names = names if names is not None else NAMES if templates is TEMPLATES else ()
     kind = docs.schema[id_col].dataType.simpleString()
     vocabulary = frozenset(w for _, text in templates for w in _words(text.encode()))
-    ordered = order_templates(templates, word_frequencies(docs, text_col, vocabulary), containment)
+    ordered = order_templates(templates, word_frequencies(docs, text_col, vocabulary), containment, names)
     schema = (
         f"_id {kind}, n_words long, n_base long, first_word long, last_word long, "
         "base_labels string, labels string, score double"

@@ -102,10 +102,11 @@ def _license_sql() -> str:
         f"SELECT doc_id, p, '{label}' AS label FROM ahead WHERE {stands(phrase)}" for phrase, label in licenses.PHRASES
     )
     templates = ", ".join(
-        f"({number}, '{label}', '{word.decode()}')"
+        f"({number}, '{label}', '{word.decode()}', {word.decode() in licenses.NAMES[number][0].split()})"
         for number, (label, text) in enumerate(licenses.TEMPLATES)
         for word in sorted(set(licenses._words(text.encode())))
     )
+    barred = ", ".join(f"({number}, '{word}')" for number, (_, words) in enumerate(licenses.NAMES) for word in words.split())
     leads = ", ".join(f"lead(word, {k}) OVER d AS w{k}" for k in range(4))
     return f"""
 WITH folded AS (SELECT doc_id, {folded} AS text FROM documents),
@@ -123,10 +124,14 @@ WITH folded AS (SELECT doc_id, {folded} AS text FROM documents),
                   FROM lines),
      blocks AS (SELECT DISTINCT doc_id, 'l' || i AS block, unnest(words) AS word FROM numbered
                 UNION SELECT DISTINCT doc_id, 'p' || par, unnest(words) FROM numbered),
-     templates AS (SELECT t, label, word, count(*) OVER (PARTITION BY t) AS n
-                   FROM (VALUES {templates}) v(t, label, word)),
-     matches AS (SELECT doc_id, label, count(*) / n AS share FROM blocks JOIN templates USING (word)
-                 GROUP BY doc_id, block, t, label, n HAVING count(*) >= {licenses.CONTAINMENT} * n - 1e-9),
+     templates AS (SELECT t, label, word, named, count(*) OVER (PARTITION BY t) AS n,
+                          count(*) FILTER (named) OVER (PARTITION BY t) AS n_named
+                   FROM (VALUES {templates}) v(t, label, word, named)),
+     others AS (SELECT DISTINCT doc_id, block, t FROM blocks JOIN (VALUES {barred}) v(t, word) USING (word)),
+     near AS (SELECT doc_id, block, t, label, count(*) / n AS share FROM blocks JOIN templates USING (word)
+              GROUP BY doc_id, block, t, label, n, n_named
+              HAVING count(*) >= {licenses.CONTAINMENT} * n - 1e-9 AND count(*) FILTER (named) = n_named),
+     matches AS (SELECT doc_id, label, share FROM near ANTI JOIN others USING (doc_id, block, t)),
      every AS (SELECT doc_id, label, NULL AS share FROM places UNION ALL SELECT * FROM matches),
      found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
                FROM every GROUP BY 1),

@@ -4,9 +4,9 @@ A window of ``width`` words that stands in two places covers, in either place, a
 ``(width + 1) // 2`` words whose start is a multiple of that length. So the non-overlapping blocks of
 every document are the index, and every rolling window of block length is a probe:
 
-1. documents are dealt into chunks of bounded size by a hash of their row; per chunk the distinct
-   rolling-block hashes, marked as indexed blocks and as repeated in the chunk, are packed and shuffled
-   by hash bucket;
+1. documents are dealt into chunks of bounded size by a hash of their row and its place in the input, so that
+   copies of one row are spread as well; per chunk the distinct rolling-block hashes, marked as indexed
+   blocks and as repeated in the chunk, are packed and shuffled by hash bucket;
 2. a bucket returns to each chunk the anchors: hashes of an indexed block with two or more places;
 3. chunks extend their anchors to all windows around them and shuffle 95-bit digests of those windows
    by bucket; a digest with two or more places is a repeated window;
@@ -200,6 +200,13 @@ def _returned(chunks: list[int], blobs: list[bytes]) -> pa.Table:
 _ROWS, _BACK = "bucket long, chunk long, blob binary", "chunk long, blob binary"
 
 
+def _dealt(rows: DataFrame, n_chunks: int) -> DataFrame:
+    """``rows(_id, _text)`` with their chunk."""
+    # The row's place in its partition: the same whenever the partition is read, different for equal rows.
+    place = F.monotonically_increasing_id()
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("_id", F.length("_text"), place), F.lit(n_chunks)))
+
+
 def remove_repeats(
     docs: DataFrame,
     width: int = 35,
@@ -222,9 +229,7 @@ def remove_repeats(
     plan = _Plan(width, bits)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    # Rows with equal ids are told apart by their text; equal rows may share a chunk.
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(n_chunks)))
-    texts = chunked.repartition("chunk")
+    texts = _dealt(rows, n_chunks).repartition("chunk")
 
     def probe(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
