@@ -11,6 +11,7 @@ from helpers import SUNDAY, forecasts, history, panel
 from weekloom.forecasters import boosted as bo
 from weekloom.forecasters.additive import fc_additive
 from weekloom.forecasters.arima import fc_arima, fit_arima, stable_lags
+from weekloom.forecasters import gram as gr
 from weekloom.forecasters.gram import gram_by_group, gram_matrix, gram_sums
 from weekloom.forecasters.recurrent import fc_recurrent
 from weekloom.forecasters.registry import FORECASTERS
@@ -53,6 +54,47 @@ def test_gram_sums_agree_with_numpy(spark):
     assert gram_sums(df, ("k",), "z", 3).count() == 2 * 6
 
 
+def _ill(spark):
+    """Rows of a polynomial design with a condition of about 1e9, and the coefficients behind the target."""
+    t = np.linspace(-1, 1, 400)
+    x = np.column_stack([t**k for k in range(24)])
+    beta = np.cos(np.arange(24.0))
+    rows = [(i % 2, [*map(float, r), float(r @ beta)]) for i, r in enumerate(x)]
+    return x, beta, spark.createDataFrame(rows, "k int, z array<double>").repartition(5)
+
+
+def test_triangular_factors_solve_what_cross_products_cannot(spark):
+    x, beta, df = _ill(spark)
+    assert 1e8 < np.linalg.cond(x[::2]) < 1e10
+    for factors in (gr.qr_matrix(df, ("k",), "z", 25), gr.qr_by_group(df, ("k",), "z", 25)):
+        solved = factors.select("k", gr.triangular_solver(24, [0.0] * 24)("r").alias("b")).collect()
+        assert len(solved) == 2
+        for r in solved:
+            np.testing.assert_allclose(r.b, beta, atol=1e-6)
+    bad = gram_matrix(df, ("k",), "z", 25).select(gr.ridge_solver(24, [0.0] * 24)("gram").alias("b")).first().b
+    assert bad is None or np.abs(np.array(bad) - beta).max() > 1e-3
+
+
+def test_factors_of_many_tasks_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(gr, "_FAN_IN", 2)
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(int(i % 3), list(map(float, v))) for i, v in enumerate(values)], "k int, z array<double>").repartition(11)
+    ridge = np.array([0.0, 2.0, 0.5])
+    for r in gr.qr_matrix(df, ("k",), "z", 4).collect():
+        own = values[r.k :: 3]
+        factor = np.array(r.r).reshape(4, 4)
+        np.testing.assert_allclose(factor.T @ factor, own.T @ own, atol=1e-9)
+        want = np.linalg.solve(own[:, :3].T @ own[:, :3] + np.diag(ridge), own[:, :3].T @ own[:, 3])
+        np.testing.assert_allclose(gr.penalised(factor, 3, ridge)[:, 0], want, atol=1e-9)
+    few = gr.qr_matrix(df.limit(2), ("k",), "z", 4).collect()
+    assert all(len(r.r) == 16 for r in few)
+    nan = spark.createDataFrame([(1, [1.0, float("nan")]), (2, [1.0, 2.0])], "k int, z array<double>")
+    with pytest.raises(Exception, match="not finite"):
+        gr.qr_matrix(nan, ("k",), "z", 2).collect()
+    assert {r.k: r.r is None for r in gr.qr_by_group(nan, ("k",), "z", 2).collect()} == {1: True, 2: False}
+
+
 def test_gram_refuses_values_that_are_not_finite(spark):
     """Such a row would silently take the sums of its whole task with it."""
     good = F.array(F.lit(1.0), F.lit(2.0))
