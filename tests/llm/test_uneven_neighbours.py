@@ -47,7 +47,7 @@ def test_recall_on_uneven_norms_and_dimensions(spark, kind):
 
 
 def test_recall_stays_where_buckets_are_probed(spark):
-    """Clustered vectors of 128 dimensions in two norm bands are hashed, not searched whole."""
+    """Clustered vectors of 128 dimensions in two norm bands."""
     rng = np.random.default_rng(12)
     vectors = _unit(rng, 100, 128).repeat(60, axis=0) + 0.03 * rng.normal(size=(6000, 128))
     vectors[::2] *= 3
@@ -83,3 +83,54 @@ def test_best_ids_of_a_block():
     vectors[:25] = 5 * vectors[39]
     row, found, _, _ = ann.top_of_block(vectors[39:], np.array([100]), vectors, ids, 10)
     assert len(found) == 10 and found[0] == 7 and len(set(found.tolist())) == 10
+
+
+def _share(spark, vectors, k=20):
+    """Rows scored per query over all rows, each once per table that probes it, under the measured plan."""
+    n = len(vectors)
+    rows = [(i, v, i % 50 == 0) for i, v in enumerate(vectors.tolist())]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, asks boolean").cache()
+    lsh = ann.CrossPolytope(64, 4, 20, *ann.layout(n, 64))
+    plan = ann._plan(df, df.where("asks"), lsh, n, k)
+    least = plan.least[ann.bands_of(vectors, plan.longest)]
+    queries = vectors[50 * np.random.default_rng(3).choice(n // 50, 64, replace=False)]
+    return sum((lsh.values(queries, vectors, t) >= least).mean() for t in range(plan.tables))
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters"])
+def test_share_of_rows_scored_falls(spark, kind):
+    """Eight times the rows: hashing scores a smaller share of them, and fewer than a scan at either size."""
+    rng = np.random.default_rng(15)
+    shares = []
+    for n in (5000, 40000):
+        vectors = _unit(rng, n, 64)
+        if kind == "clusters":
+            vectors = _unit(rng, n // 50, 64).repeat(50, axis=0) + 0.05 * vectors * 8
+        shares.append(_share(spark, vectors))
+    print(kind, shares)
+    assert shares[0] < 0.8
+    assert shares[1] <= 0.75 * shares[0]
+
+
+def test_values_cells_and_buckets_agree():
+    """The rows that a cell's blocks offer a query are those whose bucket's value reaches the threshold."""
+    rng = np.random.default_rng(16)
+    vectors, queries = _unit(rng, 4000, 16), _unit(rng, 20, 16)
+    lsh = ann.CrossPolytope(16, 1, 20, [4, 2], [16, 4])
+    cell, axes = lsh.places(vectors, 0)
+    want = lsh.values(queries, vectors, 0) >= 0.9
+    asked, named = lsh.cells_of(queries, 0, np.full(20, 0.9))
+    got = np.zeros_like(want)
+    for c in np.unique(named).tolist():
+        at, of = np.flatnonzero(cell == c), asked[named == c]
+        if len(at):
+            scores = ann.bucket_scores(lsh, 0, c, 0.9, queries[of], vectors[at], axes[at])
+            got[of[:, None], at[None, :]] = scores > -np.inf
+    assert want.any() and not want.all()
+    assert (got == want).all()
+
+
+def test_unit_vectors_are_one_band():
+    vectors = _unit(np.random.default_rng(17), 1000, 64).astype(np.float32).astype(np.float64)
+    assert set(ann.bands_of(vectors, ann.norms_of(vectors).max()).tolist()) == {0}
+    assert ann.bands_of(np.array([[1e-300, 0.0], [1e300, 0.0]]), 1e300).tolist() == [ann.BANDS - 1, 0]

@@ -1,45 +1,52 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table turns a unit vector by three rounds of random signs and a fast Hadamard transform and hashes it
-to the nearest of the 2D signed axes. A query probes, in every table, the ``probes`` axes nearest to it.
-The vectors of a bucket meet the queries that probe it; candidates are ranked by their exact inner
-products with the original vectors in double precision.
-
-Largest inner product is made a matter of angles where norms differ: vectors are split into bands of
-norms within ``BAND`` of each other, and each band is hashed by direction on its own. How many axes a band
-needs is measured: in a sample of its rows the nearest of sampled queries are found by brute force, and
-``probes`` is raised until ``SAMPLE_RECALL`` of them are in probed buckets. The neighbours in a sample lie
-farther than those in the whole band, so that is on the safe side. A band whose probes would amount to
-scoring each row once is searched whole instead, which costs no more and is exact; so are the bands of
-fewer than ``WHOLE_ROWS`` rows, together.
-
-Equal (id, vector) rows are one. A bucket larger than ``BLOCK_ROWS`` is dealt by a hash of id and vector
-into blocks of about that size, and its queries visit each, so neither a vector nor an id that a third of
-all rows repeat makes a larger block. A block returns the best ``k`` ids per query. Bucket sizes and the
-samples are what comes to the driver, whatever the input. A query that finds fewer than it could is
-searched again in all rows, which is exact.
+to the nearest signed axis. A table has several such hashes, each by its own rotation: the first ones name
+the cell of a vector, the others its bucket within the cell, and a hash may use fewer axes, so that cells
+and buckets keep about one size however many rows there are (``layout``).
+
+Multiprobe: the value of a bucket for a query is the sum, over the table's hashes, of the turned query's
+coordinates at the bucket's signed axes. A query probes the buckets whose value reaches a threshold; it is
+sent to the cells that can hold such a bucket. Rows of probed buckets are candidates and are ranked by
+their exact inner products with the original vectors in double precision.
+
+Norms: vectors are dealt into at most ``BANDS`` bands by norm, a factor of ``BAND`` each counted down from the
+longest, with a threshold each. The thresholds and the number of tables are measured: the ``k`` nearest of
+``SAMPLE_QUERIES`` queries are found in all rows by brute force, a threshold keeps ``SAMPLE_RECALL`` of them in
+probed buckets of some table, and of 1 to ``tables`` tables that number is taken which scores the fewest
+rows of a sample of about ``SAMPLE_ROWS`` rows. Both samples are drawn by a hash; every row is indexed.
+
+Equal (id, vector) rows are one. A cell larger than ``BLOCK_ROWS`` is dealt by a hash of id and vector into
+blocks of about that size, and its queries visit each, so neither a vector nor an id that a third of all
+rows repeat makes a larger block. A task holds the rows of one block and streams the queries past it. What
+comes to the driver is bounded: the samples with their neighbours, and the sizes of at most ``CELLS`` cells
+per table and band. A query that finds fewer than it could is searched again in all rows, which is exact.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those with
 a null id or with another length than most; rows that share an id are one candidate with the best of
-their scores; ties go to the smaller id; an empty table gives an empty result.
+their scores; ties go to the smaller id; an empty table gives an empty result; other columns, whatever
+their names, are not read; texts play no part.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import map_batches
+from weekloom.llm.common import map_batches, slices
 from weekloom.session import write_table
 
 BLOCK_ROWS = 4096
+BUCKET_ROWS = 32
+CELLS = 1 << 14
 BAND = 1.25
-WHOLE_ROWS = 1024
+BANDS = 16
 SAMPLE_ROWS = 2048
 SAMPLE_QUERIES = 128
 SAMPLE_RECALL = 0.95
@@ -47,6 +54,8 @@ SAMPLE_RECALL = 0.95
 _MERGED_ROWS = 200_000
 # Scores by matrix product may differ from exact ones by this; candidates so near to the last are kept.
 _SLACK = 1e-9
+# A band with fewer sampled neighbours takes the threshold of all.
+_LEAST_PAIRS = 50
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -66,9 +75,10 @@ def norms_of(vectors: np.ndarray) -> np.ndarray:
     return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(axis=1))
 
 
-def bands_of(vectors: np.ndarray) -> np.ndarray:
-    """Number of the norm band of every row."""
-    return np.floor(np.log(norms_of(vectors)) / math.log(BAND)).astype(np.int64)
+def bands_of(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Number of the norm band of every row; rows about as long as the longest are in the middle of band 0."""
+    down = np.log(longest) - np.log(norms_of(vectors))
+    return np.clip(np.rint(down / math.log(BAND)), 0, BANDS - 1).astype(np.int64)
 
 
 def mixed_hash(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -81,38 +91,66 @@ def mixed_hash(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(33)).astype(np.int64)
 
 
+def layout(rows: int, size: int) -> tuple[list[int], list[int]]:
+    """Axes of the hashes that name the cell and of those that name the bucket within a cell."""
+
+    def hashes(buckets: float) -> list[int]:
+        axes = []
+        while buckets > 2:
+            axes.append(min(size, 1 << math.ceil(math.log2(buckets / 2))))
+            buckets /= 2 * axes[-1]
+        return axes
+
+    cell = hashes(min(CELLS / 2, rows / BLOCK_ROWS))
+    buckets = rows / BUCKET_ROWS / math.prod(2 * a for a in cell)
+    return cell, [size, *hashes(buckets / (2 * size))]
+
+
 class CrossPolytope:
     """Rotations of all tables, of vectors scaled to length one."""
 
-    def __init__(self, dim: int, tables: int, seed: int):
+    def __init__(self, dim: int, tables: int, seed: int, cell: list[int], bucket: list[int]):
         self.tables = tables
+        self.cell, self.axes = len(cell), [*cell, *bucket]
+        self.cells = math.prod(2 * a for a in cell)
         self.size = 1 << max(1, (dim - 1).bit_length())
         rng = np.random.default_rng(seed)
-        self.signs = rng.choice(np.array([-1.0, 1.0]), (tables, 3, self.size))
+        self.signs = rng.choice(np.array([-1.0, 1.0]), (tables, len(self.axes), 3, self.size))
 
-    def rotated(self, vectors: np.ndarray) -> Iterator[np.ndarray]:
+    def turned(self, vectors: np.ndarray, table: int) -> list[np.ndarray]:
+        """Per hash of the table: the coordinates of the rows at all its signed axes."""
         x = np.zeros((len(vectors), self.size))
         x[:, : vectors.shape[1]] = vectors / norms_of(vectors)[:, None]
-        for rounds in self.signs:
+        out = []
+        for rounds, axes in zip(self.signs[table], self.axes):
             y = x
             for signs in rounds:
                 y = hadamard(y * signs)
-            yield y
-
-    def buckets(self, vectors: np.ndarray) -> np.ndarray:
-        """(tables, n): the nearest signed axis, axes d and above being the negative ones."""
-        out = []
-        for y in self.rotated(vectors):
-            axis = np.argmax(np.abs(y), axis=1)
-            out.append(np.where(y[np.arange(len(y)), axis] >= 0, axis, axis + self.size))
-        return np.array(out)
-
-    def probes(self, vectors: np.ndarray, n: int) -> np.ndarray:
-        """(tables, n vectors, n): the nearest signed axes of queries."""
-        out = []
-        for y in self.rotated(vectors):
-            out.append(np.argsort(np.concatenate([-y, y], axis=1), axis=1, kind="stable")[:, :n])
-        return np.array(out)
+            out.append(np.concatenate([y[:, :axes], -y[:, :axes]], axis=1))
+        return out
+
+    def places(self, vectors: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n,) cells and (n, hashes within a cell) signed axes that name the buckets."""
+        at = [np.argmax(y, axis=1) for y in self.turned(vectors, table)]
+        cell = np.zeros(len(vectors), np.int64)
+        for axis, axes in zip(at, self.axes[: self.cell]):
+            cell = cell * 2 * axes + axis
+        return cell, np.column_stack(at[self.cell :])
+
+    def values(self, queries: np.ndarray, vectors: np.ndarray, table: int) -> np.ndarray:
+        """(queries, vectors): the value for each query of each vector's bucket."""
+        return sum(q[:, np.argmax(y, axis=1)] for q, y in zip(self.turned(queries, table), self.turned(vectors, table)))
+
+    def cells_of(self, queries: np.ndarray, table: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, cell) of the cells that may hold a bucket whose value reaches the query's ``least``."""
+        turned = self.turned(queries, table)
+        most = np.array([y.max(axis=1) for y in turned])
+        row, cell, value = np.arange(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries))
+        for i, (y, axes) in enumerate(zip(turned[: self.cell], self.axes)):
+            sums = value[:, None] + y[row]
+            at, axis = np.nonzero(sums + most[i + 1 :].sum(axis=0)[row, None] >= least[row, None] - _SLACK)
+            row, cell, value = row[at], cell[at] * 2 * axes + axis, sums[at, axis]
+        return row, cell
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -125,9 +163,30 @@ def exact_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return (queries * candidates).sum(axis=1)
 
 
-def top_of_block(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, k: int):
-    """(query row, id, score) of the best ``k`` of a block for each query, the query's own id left out."""
-    rough = queries @ vectors.T
+def bucket_scores(lsh: CrossPolytope, table: int, cell: int, least: float, queries, vectors, axes) -> np.ndarray:
+    """Inner products of the queries with the rows of the buckets they probe, -inf for the other rows."""
+    turned = lsh.turned(queries, table)
+    value = np.zeros(len(queries))
+    for y, n in reversed(list(zip(turned[: lsh.cell], lsh.axes))):
+        value += y[:, cell % (2 * n)]
+        cell //= 2 * n
+    buckets, of = np.unique(axes, axis=0, return_inverse=True)
+    rows = np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(np.bincount(of.ravel()))[:-1])
+    rough = np.full((len(queries), len(vectors)), -np.inf)
+    for bucket, at in zip(buckets, rows):
+        reached = value + sum(y[:, axis] for y, axis in zip(turned[lsh.cell :], bucket))
+        asks = np.flatnonzero(reached >= least - _SLACK)
+        if len(asks):
+            rough[asks[:, None], at[None, :]] = queries[asks] @ vectors[at].T
+    return rough
+
+
+def top_of_block(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, k: int, rough=None):
+    """(query row, id, score) of the best ``k`` of a block for each query, the query's own id left out.
+
+    ``rough`` holds the inner products where not all rows are candidates.
+    """
+    rough = queries @ vectors.T if rough is None else rough
     rough[q_ids[:, None] == v_ids[None, :]] = -np.inf
     # The k-th best is counted over ids, each by its best row.
     order = np.argsort(v_ids, kind="stable")
@@ -172,157 +231,210 @@ def _usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str)
     )
 
 
-_BLOCK = "band long, table int, bucket int, salt int, id long, asks boolean"
+_BLOCK = "band int, table int, cell int, salt int, asks boolean, id long, axes array<int>"
 _FOUND = "part int, query_id long, ids array<long>, scores array<double>"
-# Stands for the bands that are searched whole; a band number is far from it.
-_WHOLE = 1 << 40
-
+_RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Tables in use, the longest norm, and per band the value that a probed bucket reaches."""
+
+    tables: int
+    longest: float
+    least: np.ndarray
+
+
+def _neighbour_values(rows: DataFrame, asked: pa.Table, lsh: CrossPolytope, longest: float, k: int) -> DataFrame:
+    """``(q, band, values)`` of the ``k`` nearest rows of every sampled query: their buckets' values per table."""
+    q_ids, queries = asked.column("id").to_numpy(), _matrix(asked.column("vector").combine_chunks())
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.full((len(queries), k), -1)
+        scores = np.full((len(queries), k), -np.inf)
+        held = np.zeros((len(queries), k, queries.shape[1]))
+        for batch in batches:
+            vectors, v_ids = _matrix(batch.column("vector")), batch.column("id").to_numpy()
+            found = queries @ vectors.T
+            found[q_ids[:, None] == v_ids[None, :]] = -np.inf
+            both = np.concatenate([scores, found], axis=1)
+            at = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            old, row = at < k, np.arange(len(queries))[:, None]
+            new = np.where(old, 0, at - k)
+            held = np.where(old[:, :, None], held[row, np.where(old, at, 0)], vectors[new])
+            ids = np.where(old, ids[row, np.where(old, at, 0)], v_ids[new])
+            scores = np.take_along_axis(both, at, axis=1)
+        q, at = np.nonzero(scores > -np.inf)
+        near = held[q, at]
+        values = np.zeros((len(q), lsh.tables))
+        for t in range(lsh.tables):
+            for y, z in zip(lsh.turned(queries, t), lsh.turned(near, t) if len(q) else []):
+                values[:, t] += y[q, np.argmax(z, axis=1)]
+        band = bands_of(near, longest) if len(q) else q
+        yield pa.record_batch(
+            {
+                "q": pa.array(q, pa.int32()),
+                "id": pa.array(ids[q, at], pa.int64()),
+                "score": pa.array(scores[q, at], pa.float64()),
+                "band": pa.array(band, pa.int32()),
+                "values": pa.array(list(values), pa.list_(pa.float64())),
+            }
+        )
 
-def _drawn(rows: DataFrame, share: dict[int, float]) -> DataFrame:
-    """``(band, vector)`` of about that share of every band named."""
-    vector_type = rows.schema["vector"].dataType.simpleString()
+    schema = "q int, id long, score double, band int, values array<double>"
+    near = rows.select("id", "vector").mapInArrow(best, schema)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return near.withColumn("place", place).where(F.col("place") <= k).select("q", "band", "values")
 
-    def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = _matrix(batch.column("vector"))
-        band = bands_of(vectors)
-        least = np.array([share.get(b, 0.0) for b in band.tolist()])
-        at = np.flatnonzero(mixed_hash(batch.column("id").to_numpy(), vectors) < least * (1 << 31))
-        return pa.record_batch({"band": pa.array(band[at]), "vector": batch.column("vector").take(pa.array(at))})
 
-    return map_batches(rows.select("id", "vector"), draw, f"band long, vector {vector_type}")
+def _plan(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, n: int, k: int) -> Plan | None:
+    """The thresholds and the tables that score the fewest rows; None where no query has a neighbour."""
 
+    def longest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        norms = norms_of(_matrix(batch.column("vector"))) if batch.num_rows else np.zeros(1)
+        return pa.record_batch({"norm": pa.array([norms.max()])})
 
-def probes_needed(lsh: CrossPolytope, queries: np.ndarray, vectors: np.ndarray, k: int) -> int:
-    """Axes per table that bring ``SAMPLE_RECALL`` of the ``k`` nearest of ``queries`` into probed buckets."""
-    scores = queries @ vectors.T
-    # A query among the rows is not its own neighbour.
-    scores[(queries[:, None, :1] == vectors[None, :, :1])[:, :, 0] & np.isclose(scores, (queries**2).sum(axis=1)[:, None])] = -np.inf
-    near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    first = np.full(near.shape, 2 * lsh.size)
-    for held, asked in zip(lsh.buckets(vectors), lsh.probes(queries, 2 * lsh.size)):
-        place = np.argsort(asked, axis=1, kind="stable")
-        first = np.minimum(first, np.take_along_axis(place, held[near], axis=1))
-    return 1 + int(np.quantile(first, SAMPLE_RECALL, method="higher"))
+    most = map_batches(rows.select("vector"), longest, "norm double").agg(F.max("norm")).first()[0]
+    asked = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_QUERIES).select("id", "vector").toArrow()
+    if most is None or not asked.num_rows:
+        return None
+    pairs = _neighbour_values(rows, asked, lsh, most, k).toArrow()
+    if not pairs.num_rows:
+        return None
+    band, values = pairs.column("band").to_numpy(), _matrix(pairs.column("values").combine_chunks())
+    share = min(1.0, SAMPLE_ROWS / n)
 
+    def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
+        drawn = mixed_hash(batch.column("id").to_numpy(), _matrix(batch.column("vector"))) < share * (1 << 31)
+        return batch.filter(pa.array(drawn))
 
-def _plan(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, probes: int, k: int) -> dict[int, int]:
-    """Axes to probe in each table for the bands that are hashed; the others are searched whole."""
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        band, n = np.unique(bands_of(_matrix(batch.column("vector"))), return_counts=True)
-        return pa.record_batch({"band": pa.array(band), "n": pa.array(n)})
-
-    sizes = map_batches(rows.select("vector"), count, "band long, n long").groupBy("band").agg(F.sum("n").alias("n"))
-    large = {r["band"]: r["n"] for r in sizes.where(F.col("n") >= max(k + 1, WHOLE_ROWS)).collect()}
-    # Fewer axes than these cannot be had, and more than one look at each row is not worth it.
-    if not large or probes * lsh.tables >= 2 * lsh.size:
-        return {}
-    asked = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_QUERIES).select("vector").toArrow()
-    if not asked.num_rows:
-        return {}
+    vector_type = rows.schema["vector"].dataType.simpleString()
+    drawn = map_batches(rows.select("id", "vector"), draw, f"id long, vector {vector_type}").toArrow()
     asked = _matrix(asked.column("vector").combine_chunks())
-    plan = {}
-    for band in sorted(large):  # one band's sample at a time
-        drawn = _drawn(rows, {band: SAMPLE_ROWS / large[band]}).toArrow()
-        if drawn.num_rows > k:
-            need = max(probes, probes_needed(lsh, asked, _matrix(drawn.column("vector").combine_chunks()), k))
-            if need * lsh.tables < 2 * lsh.size:
-                plan[band] = need
-    return plan
-
-
-def _search(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, plan: dict[int, int], k: int, parts: int) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` of the best of the probed buckets and of the bands not in ``plan``."""
+    sample = _matrix(drawn.column("vector").combine_chunks()) if drawn.num_rows else asked
+    sampled = bands_of(sample, most)
+    of_rows = [lsh.values(asked, sample, t) for t in range(lsh.tables)]
+    plans = []
+    for t in range(1, lsh.tables + 1):
+        reached = values[:, :t].max(axis=1)
+        least = np.full(BANDS, np.quantile(reached, 1 - SAMPLE_RECALL, method="lower"))
+        for b in range(BANDS):
+            if (band == b).sum() >= _LEAST_PAIRS:
+                least[b] = np.quantile(reached[band == b], 1 - SAMPLE_RECALL, method="lower")
+        scored = sum((v >= least[sampled]).mean() for v in of_rows[:t])
+        plans.append((scored, t, Plan(t, most, least)))
+    return min(plans, key=lambda p: p[:2])[2]
+
+
+def _block_streams(batches: Iterator[pa.RecordBatch]):
+    """(key, rows, queries) of sorted batches: the rows of a block, with one batch of its queries at a time."""
+    key, rows, block = None, [], None
+    for batch in batches:
+        names = np.column_stack([batch.column(c).to_numpy() for c in ("band", "table", "cell", "salt")])
+        asks = batch.column("asks").to_numpy(zero_copy_only=False)
+        change = (names[1:] != names[:-1]).any(axis=1) | (asks[1:] != asks[:-1])
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(names)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if key != tuple(names[a].tolist()):
+                key, rows, block = tuple(names[a].tolist()), [], None
+            if not asks[a]:
+                rows.append(batch.slice(a, b - a))
+            elif rows:
+                block = block or pa.Table.from_batches(rows).combine_chunks()
+                yield key, block, batch.slice(a, b - a)
+
+
+def _search(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, plan: Plan | None, k: int, n_queries: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)`` of the best of the probed buckets; without a plan, of all rows."""
     vector_type = rows.schema["vector"].dataType.simpleString()
-    hashed = np.array(sorted(plan), np.int64)
-
-    def places(vectors: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, band, table, bucket) of all places of the rows."""
-        band = bands_of(vectors)
-        inside = np.isin(band, hashed)
-        whole, at = np.flatnonzero(~inside), np.flatnonzero(inside)
-        zeros = np.zeros(len(whole), np.int64)
-        if not len(at):
-            return whole, np.full(len(whole), _WHOLE), zeros, zeros
-        found = lsh.buckets(vectors[at])
-        of = np.concatenate([whole, np.tile(at, lsh.tables)])
-        table = np.concatenate([zeros, np.repeat(np.arange(lsh.tables), len(at))])
-        names = np.concatenate([np.full(len(whole), _WHOLE), np.tile(band[at], lsh.tables)])
-        return of, names, table, np.concatenate([zeros, found.ravel()])
+    tables = plan.tables if plan else 1
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, *place = places(_matrix(batch.column("vector")))
-        place, n = np.unique(np.column_stack(place), axis=0, return_counts=True)
-        return pa.record_batch({c: pa.array(v) for c, v in zip("ptbn", (*place.T, n))})
-
-    sizes = map_batches(rows.select("vector"), count, "p long, t long, b long, n long")
-    blocks: dict[int, np.ndarray] = {b: np.zeros((lsh.tables, 2 * lsh.size), np.int64) for b in (*plan, _WHOLE)}
-    for r in sizes.groupBy("p", "t", "b").agg(F.sum("n").alias("n")).collect():
-        blocks[r["p"]][r["t"], r["b"]] = -(-r["n"] // BLOCK_ROWS)
+    def places(vectors: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if plan is None:
+            zeros = np.zeros(len(vectors), np.int64)
+            return zeros, zeros, np.zeros((len(vectors), 1), np.int64)
+        return bands_of(vectors, plan.longest), *lsh.places(vectors, table)
 
-    def pack(batch: pa.RecordBatch, of: np.ndarray, band, table, bucket, salt, asks: bool) -> pa.RecordBatch:
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vectors = _matrix(batch.column("vector"))
+        out = []
+        for t in range(tables):
+            band, cell, _ = places(vectors, t)
+            out.append(np.column_stack([band, np.full(len(band), t), cell]))
+        place, n = np.unique(np.concatenate(out), axis=0, return_counts=True)
+        return pa.record_batch({c: pa.array(v) for c, v in zip("ptcn", (*place.T, n))})
+
+    sizes = map_batches(rows.select("vector"), count, "p long, t long, c long, n long")
+    blocks = np.zeros((BANDS, tables, lsh.cells if plan else 1), np.int32)
+    for r in sizes.groupBy("p", "t", "c").agg(F.sum("n").alias("n")).collect():
+        blocks[r["p"], r["t"], r["c"]] = -(-r["n"] // BLOCK_ROWS)
+    parts = max(1, math.ceil(n_queries * int(blocks.sum()) * k / _MERGED_ROWS))
+
+    def pack(batch: pa.RecordBatch, of, band, table: int, cell, salt, asks: bool, axes) -> pa.RecordBatch:
         taken = batch.take(pa.array(of))
         return pa.record_batch(
             {
-                "band": pa.array(band, pa.int64()),
-                "table": pa.array(table, pa.int32()),
-                "bucket": pa.array(bucket, pa.int32()),
+                "band": pa.array(band, pa.int32()),
+                "table": pa.array(np.full(len(of), table), pa.int32()),
+                "cell": pa.array(cell, pa.int32()),
                 "salt": pa.array(salt, pa.int32()),
-                "id": taken.column("id"),
                 "asks": pa.array(np.full(len(of), asks)),
+                "id": taken.column("id"),
+                "axes": pa.array(axes, pa.list_(pa.int32())),
                 "vector": taken.column("vector"),
             }
         )
 
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = _matrix(batch.column("vector"))
-        of, band, table, bucket = places(vectors)
-        times = np.zeros(len(of), np.int64)
-        for b in np.unique(band).tolist():
-            mine = band == b
-            times[mine] = blocks[b][table[mine], bucket[mine]]
-        salt = mixed_hash(batch.column("id").to_numpy(), vectors)[of] % np.maximum(1, times)
-        return pack(batch, of, band, table, bucket, salt, False)
-
-    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = batch.num_rows
-        most = max(plan.values(), default=0)
-        found = lsh.probes(_matrix(batch.column("vector")), most) if most else None
-        asked = [[np.arange(n), np.full(n, _WHOLE), np.zeros(n, np.int64), np.zeros(n, np.int64)]]
-        for b, probes in plan.items():
-            table, of, _ = (x.ravel() for x in np.indices((lsh.tables, n, probes)))
-            asked.append([of, np.full(len(of), b), table, found[:, :, :probes].ravel()])
-        of, band, table, bucket = (np.concatenate(c) for c in zip(*asked))
-        times = np.concatenate([blocks[a[1][0]][a[2], a[3]] if len(a[1]) else a[1] for a in asked])
-        which = np.repeat(np.arange(len(bucket)), times)
-        salt = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        return pack(batch, of[which], band[which], table[which], bucket[which], salt, True)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            vectors = _matrix(batch.column("vector"))
+            mixed = mixed_hash(batch.column("id").to_numpy(), vectors)
+            for t in range(tables):
+                band, cell, axes = places(vectors, t)
+                yield pack(batch, np.arange(len(band)), band, t, cell, mixed % blocks[band, t, cell], False, list(axes))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            vectors = _matrix(batch.column("vector"))
+            n = len(vectors)
+            for t in range(tables):
+                for b in np.flatnonzero(blocks[:, t].any(axis=1)).tolist():
+                    if plan is None:
+                        of, cell = np.arange(n), np.zeros(n, np.int64)
+                    else:
+                        of, cell = lsh.cells_of(vectors, t, np.full(n, plan.least[b]))
+                    times = blocks[b, t, cell]
+                    which = np.repeat(np.arange(len(of)), times)
+                    salt = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                    band = np.full(len(which), b)
+                    yield pack(batch, of[which], band, t, cell[which], salt, True, [None] * len(which))
 
     schema = f"{_BLOCK}, vector {vector_type}"
-    placed = map_batches(rows.select("id", "vector"), place, schema)
-    asked = map_batches(queries.select("id", "vector"), ask, schema)
-
-    def block(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
-        ids = group.column("id").to_numpy()
-        vectors = _matrix(group.column("vector").combine_chunks())
-        out: dict[str, list] = {"part": [], "query_id": [], "ids": [], "scores": []}
-        at = np.flatnonzero(~asks)
-        if len(at):
-            mine = np.flatnonzero(asks)
-            for a in range(0, len(mine), 1024):
-                q = mine[a : a + 1024]
-                row, v_ids, scores, _ = top_of_block(vectors[q], ids[q], vectors[at], ids[at], k)
-                edges = np.searchsorted(row, np.arange(len(q) + 1))
-                for i, q_id in enumerate(ids[q].tolist()):
-                    if edges[i] < edges[i + 1]:
-                        out["part"].append(int(q_id % parts))
-                        out["query_id"].append(q_id)
-                        out["ids"].append(v_ids[edges[i] : edges[i + 1]])
-                        out["scores"].append(scores[edges[i] : edges[i + 1]])
-        kinds = {"part": pa.int32(), "query_id": pa.int64()}
-        kinds |= {"ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float64())}
-        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+    placed = rows.select("id", "vector").mapInArrow(place, schema)
+    asked = queries.select("id", "vector").mapInArrow(ask, schema)
+    kinds = {"part": pa.int32(), "query_id": pa.int64()}
+    kinds |= {"ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float64())}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, table, cell, _), block, asking in _block_streams(batches):
+            vectors, v_ids = _matrix(block.column("vector").combine_chunks()), block.column("id").to_numpy()
+            axes = _matrix(block.column("axes").combine_chunks()).astype(np.int64)
+            for a in range(0, asking.num_rows, 1024):
+                mine = asking.slice(a, 1024)
+                q, q_ids = _matrix(mine.column("vector")), mine.column("id").to_numpy()
+                rough = bucket_scores(lsh, table, cell, plan.least[band], q, vectors, axes) if plan else None
+                row, ids, scores, _ = top_of_block(q, q_ids, vectors, v_ids, k, rough)
+                some, begin = np.unique(row, return_index=True)
+                begin = np.append(begin, len(row)).astype(np.int32)
+                out = {
+                    "part": q_ids[some] % parts,
+                    "query_id": q_ids[some],
+                    "ids": pa.ListArray.from_arrays(begin, pa.array(ids, pa.int64())),
+                    "scores": pa.ListArray.from_arrays(begin, pa.array(scores, pa.float64())),
+                }
+                yield pa.record_batch({c: pa.array(v, kinds[c]) if c in ("part", "query_id") else v for c, v in out.items()})
 
     def merge(group: pa.Table) -> pa.Table:
         ids, scores = group.column("ids").combine_chunks(), group.column("scores").combine_chunks()
@@ -338,24 +450,27 @@ def _search(rows: DataFrame, queries: DataFrame, lsh: CrossPolytope, plan: dict[
             }
         )
 
-    found = placed.union(asked).groupBy("band", "table", "bucket", "salt").applyInArrow(block, _FOUND)
-    return found.groupBy("part").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    key = ["band", "table", "cell", "salt"]
+    met = placed.union(asked).repartition(*key).sortWithinPartitions(*key, "asks")
+    return met.mapInArrow(meet, _FOUND).groupBy("part").applyInArrow(merge, _RESULT)
 
 
 def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    tables: int = 8,
-    probes: int = 14,
+    tables: int = 4,
     seed: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: up to ``k`` others of every row for which ``is_query`` holds."""
+    """``(query_id, rank, vec_id, score)``: up to ``k`` others of every row for which ``is_query`` holds.
+
+    ``tables`` is the most that may be used; the number in use is measured.
+    """
     rows = _usable(vectors, is_query, id_col, vector_col)
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], _RESULT)
     lengths = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     common = lengths.orderBy(F.desc("n"), F.desc("d")).first()
     if common is None:
@@ -365,19 +480,18 @@ def nearest(
     # Equal rows are one, and so are copies of an id's vector of which only some ask.
     rows = write_table(rows.groupBy("id", "vector").agg(F.max("asks").alias("asks")), "distinct-vectors")
     queries = rows.where("asks")
-    n_queries = queries.count()
-    lsh = CrossPolytope(dim, tables, seed)
-    plan = _plan(rows, queries, lsh, min(probes, 2 * lsh.size), k)
-    parts = max(1, math.ceil(n_queries * (1 + tables * sum(plan.values())) * k / _MERGED_ROWS))
-    found = write_table(_search(rows, queries, lsh, plan, k, parts), "neighbours")
-    if not plan:
-        return found
+    n, n_queries = rows.count(), queries.count()
+    size = 1 << max(1, (dim - 1).bit_length())
+    lsh = CrossPolytope(dim, tables, seed, *layout(n, size))
+    plan = _plan(rows, queries, lsh, n, k)
+    if plan is None:
+        return empty
+    found = write_table(_search(rows, queries, lsh, plan, k, n_queries), "neighbours")
     # A query with fewer than k of its probed buckets is searched in all rows.
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = write_table(queries.join(full, "id", "left_anti"), "short-queries")
     n_short = short.count()
     if not n_short:
         return found
-    parts = max(1, math.ceil(n_short * k * -(-rows.count() // BLOCK_ROWS) / _MERGED_ROWS))
-    again = _search(rows, short, lsh, {}, k, parts)
-    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").union(again)
+    again = _search(rows, short, lsh, None, k, n_short)
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(*found.columns).union(again)
