@@ -56,8 +56,8 @@ def op7_packing(spark, d):
 
 @query
 def op2_warc(spark, d):
-    archives = write_table(warc.write_archives(_table(spark, d, "pages")), "archives")
-    return warc.read_archives(archives, payloads=False).drop("payload", "url")
+    files = warc.save_archives(_table(spark, d, "pages"), new_table_path(spark, "archives"))
+    return warc.read_files(files, payloads=False).drop("payload", "url")
 
 
 _HEX_PART = "('0x' || substr(digest, {}, 5))::INTEGER"

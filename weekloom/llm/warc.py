@@ -4,8 +4,15 @@ An archive is a ZIP file with two stored (method 0) members: ``archive/data.warc
 record, and ``indexes/index.cdxj``, one line per record with its offset and length in the first. The
 reader parses the end record, the ZIP64 locator and the central directory, finds where a stored member
 begins, reads the index by range and then each record by range. It takes any object with
-``read_at(offset, length)`` and a size; archives arrive from Spark as rows ``(path, content)``, as the
-``binaryFile`` source gives them from any store, or as the stored table that ``write_archives`` makes.
+``read_at(offset, length)`` and a size.
+
+``save_archives`` writes files to a folder that all executors share and returns a table of them;
+``read_files`` opens files by range: one task per archive reads directory and index and names runs of
+records of at most ``RUN_BYTES``, which are dealt to all tasks, so a large archive is read by many.
+File names carry the attempt that wrote them: files of lost attempts are in no table and are never read.
+Folders are opened by Arrow (local or mounted, S3, GCS, HDFS). ``write_archives`` and ``read_archives`` do
+the same with archives as rows ``(path, content)``, as the ``binaryFile`` source gives them from a store that
+only Spark reads.
 
 Cases: a null payload is an empty one; a null id is written as such, comes back as null and stands
 below all others; rows that repeat the largest id of a payload are all responses; an empty table
@@ -17,20 +24,31 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.session import write_table
+
 RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 # A partition starts a new archive at this size; an archive is one row and one task's read.
 ARCHIVE_BYTES = 8 << 20
+# Records that one row names for a task to read: bytes and number at most, a larger record alone.
+RUN_BYTES = 8 << 20
+RUN_RECORDS = 10_000
+# Bytes of records dealt to one partition of the reading stage, and of an index read at once.
+_PARTITION_BYTES = 64 << 20
+_INDEX_BYTES = 1 << 20
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = (b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4")
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
 _ID_URN = "urn:weekloom:page:"
@@ -63,6 +81,37 @@ class SeekableFile:
         return self.file.read(length)
 
 
+class StoredFile:
+    """Range reads on a file of a shared store; ``bytes_read`` counts them."""
+
+    def __init__(self, path: str):
+        store, at = located(path)
+        self.file = store.open_input_file(at)
+        self.size = self.file.size()
+        self.bytes_read = 0
+
+    def read_at(self, offset: int, length: int) -> bytes:
+        if offset < 0 or length < 0 or offset + length > self.size:
+            raise ValueError(f"range {offset}+{length} lies outside {self.size} bytes")
+        self.bytes_read += length
+        return self.file.read_at(length, offset)
+
+    def __enter__(self) -> StoredFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path or URI, and the path there."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    if "://" in path:
+        return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return pafs.LocalFileSystem(), path
+
+
 @dataclass(frozen=True)
 class Member:
     name: str
@@ -145,9 +194,14 @@ def data_offset(source, member: Member) -> int:
 
 
 def read_index(source, listed: dict[str, Member]) -> Iterator[dict]:
+    """The entries of the index, some of whose bytes are held at a time."""
     member = listed[INDEX]
-    for line in source.read_at(data_offset(source, member), member.size).splitlines():
-        yield json.loads(line[line.index(b"{") :])
+    begin, left = data_offset(source, member), b""
+    for at in range(0, member.size, _INDEX_BYTES):
+        *lines, left = (left + source.read_at(begin + at, min(_INDEX_BYTES, member.size - at))).split(b"\n")
+        yield from (json.loads(line[line.index(b"{") :]) for line in lines if line.strip())
+    if left.strip():
+        yield json.loads(left[left.index(b"{") :])
 
 
 def read_record(source, begin: int, offset: int, length: int) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -239,39 +293,74 @@ def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes:
     return joined.withColumn("_refers_to", F.when(~own, F.col("_best"))).drop("_digest", "_n", "_best")
 
 
+def _marked(pages: DataFrame, id_col: str, uri_col: str, payload_col: str, least_bytes: int) -> DataFrame:
+    marked = mark_revisits(pages.select(id_col, uri_col, payload_col), id_col, payload_col, least_bytes)
+    return marked.select(
+        F.col(id_col).alias("_id"), F.col(uri_col).alias("_uri"), F.col(payload_col).alias("_payload"), "_refers_to"
+    )
+
+
+def _packed(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[tuple[str, bytes, int]]:
+    """(name, bytes, records) of the archives of a partition."""
+    number, data, index = 0, bytearray(), []
+
+    def archive() -> tuple[str, bytes, int]:
+        name = f"part-{TaskContext.get().partitionId():06d}-{number:04d}.wacz"
+        return name, zip_stored([(RECORDS, bytes(data)), (INDEX, "\n".join(index).encode())]), len(index)
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("_id", "_uri", "_payload", "_refers_to"))
+        for page_id, uri, payload, refers_to in zip(*columns):
+            body = (payload or "").encode()
+            digest = _base32_sha1(body)
+            record = _gzip(warc_record(page_id, uri or "", body, digest, refers_to))
+            entry = {"offset": str(len(data)), "length": str(len(record)), "digest": digest}
+            index.append(f"{digest} 19700101000000 {json.dumps(entry)}")
+            data += record
+            if len(data) >= archive_bytes:
+                yield archive()
+                number, data, index = number + 1, bytearray(), []
+    if index:
+        yield archive()
+
+
 def write_archives(
     pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0
 ) -> DataFrame:
     """``(path, content)``: ZIP archives with a WARC record for every row of ``pages``."""
-    marked = mark_revisits(pages.select(id_col, uri_col, payload_col), id_col, payload_col, least_bytes)
-    rows = marked.select(
-        F.col(id_col).alias("_id"), F.col(uri_col).alias("_uri"), F.col(payload_col).alias("_payload"), "_refers_to"
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, data, index = 0, bytearray(), []
+        for name, content, _ in _packed(batches, ARCHIVE_BYTES):
+            yield pa.record_batch({"path": pa.array([name]), "content": pa.array([content], pa.binary())})
 
-        def archive() -> pa.RecordBatch:
-            path = f"part-{TaskContext.get().partitionId():06d}-{number:04d}.wacz"
-            content = zip_stored([(RECORDS, bytes(data)), (INDEX, "\n".join(index).encode())])
-            return pa.record_batch({"path": pa.array([path]), "content": pa.array([content], pa.binary())})
+    return _marked(pages, id_col, uri_col, payload_col, least_bytes).mapInArrow(run, "path string, content binary")
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("_id", "_uri", "_payload", "_refers_to"))
-            for page_id, uri, payload, refers_to in zip(*columns):
-                body = (payload or "").encode()
-                digest = _base32_sha1(body)
-                record = _gzip(warc_record(page_id, uri or "", body, digest, refers_to))
-                entry = {"offset": str(len(data)), "length": str(len(record)), "digest": digest}
-                index.append(f"{digest} 19700101000000 {json.dumps(entry)}")
-                data += record
-                if len(data) >= ARCHIVE_BYTES:
-                    yield archive()
-                    number, data, index = number + 1, bytearray(), []
-        if index:
-            yield archive()
-
-    return rows.mapInArrow(run, "path string, content binary")
+
+def save_archives(
+    pages: DataFrame,
+    folder: str,
+    id_col: str = "page_id",
+    uri_col: str = "url",
+    payload_col: str = "html",
+    least_bytes: int = 0,
+    archive_bytes: int = ARCHIVE_BYTES,
+) -> DataFrame:
+    """``(path, n_bytes, n_records)`` of archive files written to ``folder``, with a record for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = located(folder)
+        attempt = TaskContext.get().taskAttemptId()
+        store.create_dir(at, recursive=True)
+        for name, content, n in _packed(batches, archive_bytes):
+            name = name.replace(".wacz", f"-{attempt}.wacz")
+            with store.open_output_stream(f"{at}/{name}") as out:
+                out.write(content)
+            row = {"path": [f"{folder}/{name}"], "n_bytes": [len(content)], "n_records": [n]}
+            yield pa.record_batch(row)
+
+    rows = _marked(pages, id_col, uri_col, payload_col, least_bytes)
+    # The table names the files of those attempts only whose rows Spark committed.
+    return write_table(rows.mapInArrow(run, "path string, n_bytes long, n_records long"), "archive-files")
 
 
 def _page_id(urn: str | None) -> str | None:
@@ -281,6 +370,97 @@ def _page_id(urn: str | None) -> str | None:
     return None if text == "null" else text
 
 
+_KINDS = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64())]
+_KINDS += [("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
+_RECORD = pa.schema([*_KINDS, ("payload", pa.binary())])
+_RECORD_DDL = (
+    "page_id string, url string, payload_bytes long, payload_digest string, record_type string, "
+    "refers_to string, payload binary"
+)
+
+
+def _row(source, begin: int, offset: int, length: int, payloads: bool) -> dict:
+    warc, http, body = read_record(source, begin, offset, length)
+    response = warc["warc-type"] == "response"
+    digest = warc["warc-payload-digest"].removeprefix("sha1:")
+    if response and _base32_sha1(body) != digest:
+        raise ValueError(f"payload of {warc['warc-record-id']} does not have its digest")
+    return {
+        "page_id": _page_id(warc["warc-record-id"]),
+        "url": warc["warc-target-uri"],
+        "payload_bytes": len(body) if response else int(http["content-length"]),
+        "payload_digest": digest,
+        "record_type": warc["warc-type"],
+        "refers_to": _page_id(warc.get("warc-refers-to")),
+        "payload": body if response and payloads else None,
+    }
+
+
+def _in_batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some ``RUN_BYTES`` of payloads, however well they were packed."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row["payload"] or b"")
+        if size >= RUN_BYTES or len(held) >= RUN_RECORDS:
+            yield pa.RecordBatch.from_pylist(held, _RECORD)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, _RECORD)
+
+
+def runs_of(source, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(begin of the record member, offsets, lengths) of runs of records, as the index lists them."""
+    listed = members(source)
+    begin = data_offset(source, listed[RECORDS])
+    offsets, lengths, size = [], [], 0
+    for entry in read_index(source, listed):
+        length = int(entry["length"])
+        if offsets and (size + length > run_bytes or len(offsets) >= RUN_RECORDS):
+            yield begin, offsets, lengths
+            offsets, lengths, size = [], [], 0
+        offsets.append(int(entry["offset"]))
+        lengths.append(length)
+        size += length
+    if offsets:
+        yield begin, offsets, lengths
+
+
+def _typed(records: DataFrame, id_type: str) -> DataFrame:
+    return records.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
+
+
+def read_files(files: DataFrame, id_type: str = "long", payloads: bool = True, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """A row per record of the archive files named in ``path``, as ``read_archives`` gives them.
+
+    Of a file only the end, the directory, the index and the ranges of its records are read.
+    """
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with StoredFile(path) as source:
+                    for begin, offsets, lengths in runs_of(source, run_bytes):
+                        run = {"path": [path], "begin": [begin], "offsets": [offsets], "lengths": [lengths]}
+                        yield pa.record_batch(run)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch.to_pylist():
+                with StoredFile(run["path"]) as source:
+                    ranges = zip(run["offsets"], run["lengths"])
+                    yield from _in_batches(_row(source, run["begin"], *at, payloads) for at in ranges)
+
+    named = files.where(F.col("path").isNotNull()).select("path")
+    cores = named.sparkSession.sparkContext.defaultParallelism
+    # Tables of names are small files that Spark reads in one task: names and runs are dealt by number.
+    runs = named.repartition(cores).mapInArrow(index, "path string, begin long, offsets array<long>, lengths array<long>")
+    runs = write_table(runs, "record-runs")
+    total = runs.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]
+    spread = runs.repartition(max(cores, math.ceil((total or 0) / _PARTITION_BYTES)))
+    return _typed(spread.mapInArrow(read, _RECORD_DDL), id_type)
+
+
 def read_archives(archives: DataFrame, id_type: str = "long", payloads: bool = True) -> DataFrame:
     """A row per record of archives ``(path, content)``.
 
@@ -294,34 +474,7 @@ def read_archives(archives: DataFrame, id_type: str = "long", payloads: bool = T
         for batch in batches:
             for content in batch.column("content"):
                 source = Content(content.as_buffer())
-                listed = members(source)
-                begin = data_offset(source, listed[RECORDS])
-                rows = []
-                for entry in read_index(source, listed):
-                    warc, http, body = read_record(source, begin, int(entry["offset"]), int(entry["length"]))
-                    response = warc["warc-type"] == "response"
-                    digest = warc["warc-payload-digest"].removeprefix("sha1:")
-                    if response and _base32_sha1(body) != digest:
-                        raise ValueError(f"payload of {warc['warc-record-id']} does not have its digest")
-                    rows.append(
-                        {
-                            "page_id": _page_id(warc["warc-record-id"]),
-                            "url": warc["warc-target-uri"],
-                            "payload_bytes": len(body) if response else int(http["content-length"]),
-                            "payload_digest": digest,
-                            "record_type": warc["warc-type"],
-                            "refers_to": _page_id(warc.get("warc-refers-to")),
-                            "payload": body if response and payloads else None,
-                        }
-                    )
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    kinds = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64())]
-    kinds += [("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
-    schema = pa.schema([*kinds, ("payload", pa.binary())])
-    out = archives.select("content").mapInArrow(
-        run,
-        "page_id string, url string, payload_bytes long, payload_digest string, record_type string, "
-        "refers_to string, payload binary",
-    )
-    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
+                for begin, offsets, lengths in runs_of(source):
+                    yield from _in_batches(_row(source, begin, *at, payloads) for at in zip(offsets, lengths))
+
+    return _typed(archives.select("content").mapInArrow(run, _RECORD_DDL), id_type)
