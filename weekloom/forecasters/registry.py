@@ -14,16 +14,22 @@ from pyspark.sql import DataFrame
 from weekloom.forecasters.additive import fc_additive
 from weekloom.forecasters.arima import fc_arima
 from weekloom.forecasters.boosted import fc_boosted_direct
+from weekloom.forecasters.gated import fc_gated
 from weekloom.forecasters.recurrent import fc_recurrent
-from weekloom.params import Settings
+from weekloom.params import RecurrentParams, Settings
 
 Forecaster = Callable[[DataFrame, int, Settings], DataFrame]
 
+
+def _recurrent(train: DataFrame, horizon: int, p: RecurrentParams) -> DataFrame:
+    return (fc_gated if p.kind == "gated" else fc_recurrent)(train, horizon, p)
+
+
 FORECASTERS: dict[str, Forecaster] = {
     "arima": lambda train, horizon, s: fc_arima(train, horizon, s.models.arima),
     "additive": lambda train, horizon, s: fc_additive(train, horizon, s.models.additive),
     "boosted": lambda train, horizon, s: fc_boosted_direct(
         train, horizon, s.models.boosted, s.features
     ),
-    "recurrent": lambda train, horizon, s: fc_recurrent(train, horizon, s.models.recurrent),
+    "recurrent": lambda train, horizon, s: _recurrent(train, horizon, s.models.recurrent),
 }

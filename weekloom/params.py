@@ -162,6 +162,17 @@ class RecurrentParams:
     ridge_grid: tuple[float, ...] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)
     holdout: float = 0.1
     seed: int = 42
+    # "reservoir" learns the readout only, "gated" trains a gated network of ``units`` with early stopping.
+    kind: str = "reservoir"
+    units: int = 32
+    epochs: int = 50
+    patience: int = 5
+    learning_rate: float = 0.005
+    clip: float = 1.0
+
+    def __post_init__(self):
+        if self.kind not in ("reservoir", "gated"):
+            raise ValueError(f"unknown recurrence {self.kind!r}")
 
 
 @dataclass(frozen=True)
