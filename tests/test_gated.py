@@ -55,9 +55,10 @@ def test_loss_falls_and_the_best_weights_stay(spark):
     held = max(1, int(0.1 * count))
     assert len(rows) == 2 * count and sum(r["validation"] for r in rows) == 2 * held
     trained = gated.train_gated(windows, 8, p)
-    losses = [h[4] for h in trained.history]
+    losses = [h[5] for h in trained.history]
+    assert {h[2:4] for h in trained.history[:40]} == {(2 * (count - held), 2 * held)}
     assert min(losses) < 0.5 * losses[0]
-    assert [h[5] for h in trained.history] == [v < min(losses[:i], default=np.inf) for i, v in enumerate(losses)]
+    assert [h[6] for h in trained.history] == [v < min(losses[:i], default=np.inf) for i, v in enumerate(losses)]
     # Two epochs without a gain end it, unless the epochs ran out first.
     assert len(losses) == 41 or losses.index(min(losses)) == len(losses) - 3
     net, (fold, weights) = gated.GatedNet(p.units, 8), next(iter(trained.weights.items()))

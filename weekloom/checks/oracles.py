@@ -582,6 +582,13 @@ SELECT series_id, fold, CAST(h AS INTEGER) AS h, round((lo + width * mean) / 1e6
 FROM (SELECT DISTINCT series_id, fold, lo, width FROM {unit_scaled})
 JOIN (SELECT fold, h, avg(s) AS mean FROM {unit_scaled} CROSS JOIN {eight}
       WHERE t >= 51 + h AND t <= n - 9 + h GROUP BY 1, 2) USING (fold)
+""",
+    "recurrent_epochs": """
+SELECT fold, epoch, CAST(CASE WHEN epoch < 2 THEN sum(m - held) ELSE 0 END AS BIGINT) AS windows,
+       CAST(sum(held) AS BIGINT) AS held_out, TRUE AS sound
+FROM (SELECT fold, m, greatest(1, floor(0.1::DOUBLE * m)) AS held
+      FROM (SELECT series_id, fold, count(*) - 59 AS m FROM {train} GROUP BY 1, 2) WHERE m >= 17)
+CROSS JOIN (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS epoch) GROUP BY 1, 2
 """,
     "fc_boosted_mean": """
 SELECT series_id, fold, CAST(h AS INTEGER) AS h, round(mean * scale / 1e6, 3) AS yhat

@@ -17,6 +17,8 @@ from weekloom.forecasters.boosted import direct_rows, fit_trees
 from weekloom.forecasters.boosted import explain_trees as explain_forest
 from weekloom.forecasters.boosted import fc_boosted_direct as boosted_forecast
 from weekloom.forecasters.boosted import tune_boosted as tune_trees
+from weekloom.forecasters.gated import fc_gated as gated_forecast
+from weekloom.forecasters.gated import gated_history
 from weekloom.forecasters.gram import gram_sums
 from weekloom.forecasters.recurrent import fc_recurrent as recurrent_forecast
 from weekloom.functions.metrics import mae, mape, rmse, smape
@@ -838,6 +840,22 @@ def fc_recurrent(spark, d):
     return recurrent_forecast(fd.training_rows(_nation_folds(spark, d)), 8)
 
 
+@query
+def fc_recurrent_gated(spark, d):
+    """The trained recurrence, with fewer units and epochs than by default."""
+    p = RecurrentParams(kind="gated", units=16, epochs=4)
+    return gated_forecast(fd.training_rows(_nation_folds(spark, d)), 8, p)
+
+
+@query
+def recurrent_epochs(spark, d):
+    """An epoch learns from each window of a fold once and is measured on each that is held out."""
+    p = RecurrentParams(kind="gated", units=4, epochs=2, patience=3)
+    history = gated_history(fd.training_rows(_nation_folds(spark, d)), 8, p)
+    finite = (F.col("validation_loss") > 0) & (F.col("validation_loss") < 1)
+    return history.select("fold", "epoch", "windows", "held_out", finite.alias("sound"))
+
+
 @query
 def tune_boosted(spark, d):
     """Two passes of trials over the whole search ranges; only the patience is short."""
