@@ -71,7 +71,7 @@ def test_loss_falls_and_the_best_weights_stay(spark):
 def test_short_missing_constant_and_no_series(spark):
     broken = yearly(N)
     broken[50] = np.nan
-    rows = history(spark, {"short": yearly(75), "broken": broken, "flat": np.full(N, 7.0), "long": yearly(N)})
+    rows = history(spark, {"short": yearly(75), "broken": broken, "endless": np.where(np.arange(N) == 9, np.inf, yearly(N)), "flat": np.full(N, 7.0), "long": yearly(N)})
     p = replace(SMALL, epochs=2)
     got = forecasts(gated.fc_gated(rows, 8, p))
     assert got.keys() == {"long", "flat"} and all(len(v) == 8 and np.isfinite(v).all() for v in got.values())
