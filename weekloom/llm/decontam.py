@@ -3,14 +3,16 @@
 Items are the documents of a BM25 collection; the index keeps, per term, blocks of ``BLOCK_ITEMS``
 items with the largest impact in the block. Passages are windows of twice the longest item's words, each
 starting where half the one before has passed, so a copy of any item lies whole in some passage. All
-items whose BM25 score reaches ``least_score`` of what the item's own words score are retrieved, in the
-manner of block-max WAND:
+items whose BM25 score reaches ``least_score`` of what the item's own words score are retrieved by
+block-max WAND, all passages of a batch side by side:
 
 - terms that most items share are set aside as long as an item can lose them all and still need the
   rest (their sum per item is known), so their long lists are never opened;
-- the block maxima of a passage's other terms are added per block; a block whose bound stays below what
-  its easiest item needs is skipped;
-- items of the blocks left are scored exactly.
+- a passage has a cursor in the list of each other term; ordered by their items, the first cursors whose
+  lists' maxima together reach what the easiest item needs end at the pivot, no item before it can do;
+- where the maxima of those lists in the pivot's block stay below what the block's easiest item needs, all of
+  them skip to the end of the block or to the next cursor's item;
+- otherwise cursors before the pivot move to it; where they all stand on it the item is scored exactly.
 
 A retrieved item is a leak if the passage holds ``containment`` of its five-word shingles and at least
 ``least_overlap`` of its question (shingles) and of its answer (words). The answer is the last sentence,
@@ -49,6 +51,7 @@ CONTAINMENT = 0.8
 LEAST_OVERLAP = 0.5
 # Words handled at once; bounds a task's memory, not a text's length.
 _WORDS_AT_ONCE = 1 << 19
+_PASSAGES_AT_ONCE = 4096
 
 # ASCII that is neither letter nor digit separates words.
 _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -111,41 +114,95 @@ class ItemIndex:
                 lost[at] += loss
                 aside.add(t)
         self.terms = {t: n for n, t in enumerate(sorted(set(postings) - aside))}
-        starts, blocks, most = [0], [], []
-        for t in self.terms:
-            own: dict[int, float] = {}
-            for i in postings[t]:
-                own[i // BLOCK_ITEMS] = max(own.get(i // BLOCK_ITEMS, 0.0), self.impacts[i][t])
-            blocks += own.keys()
-            most += own.values()
-            starts.append(len(blocks))
-        self.starts, self.blocks, self.most = np.array(starts), np.array(blocks, np.int64), np.array(most)
-        left = self.needed - lost
+        lists = [postings[t] for t in self.terms]
+        sizes = np.array([len(at) for at in lists], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        # One end mark behind all lists; a cursor there has left its list.
+        self.listed = np.array([*chain.from_iterable(lists), len(items)], np.int64)
+        self.impact = np.array([*(self.impacts[i][t] for t, at in zip(self.terms, lists) for i in at), 0.0])
+        of = np.repeat(np.arange(len(lists)), sizes)
+        self.keys = of * (len(items) + 1) + self.listed[:-1]
         self.n_blocks = -(-len(items) // BLOCK_ITEMS)
-        self.block_needs = np.array([left[i : i + BLOCK_ITEMS].min() for i in range(0, len(items), BLOCK_ITEMS)])
+        block_keys = of * self.n_blocks + self.listed[:-1] // BLOCK_ITEMS
+        self.block_keys, first = np.unique(block_keys, return_index=True)
+        self.most = np.maximum.reduceat(self.impact[:-1], first) if len(first) else np.zeros(0)
+        self.list_most = np.maximum.reduceat(self.impact[:-1], self.starts[:-1]) if len(lists) else np.zeros(0)
+        self.left = self.needed - lost
+        self.block_needs = np.array([self.left[i : i + BLOCK_ITEMS].min() for i in range(0, len(items), BLOCK_ITEMS)])
         self.stride = max(len(item.words) for item in items)
 
-    def surviving(self, numbers: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, block) whose summed block maxima reach the block's need.
+    def retrieved(self, numbers: np.ndarray, passage: np.ndarray, counts: Counter | None = None):
+        """(passage, item) whose opened terms give what the item needs; ascending.
 
-        ``numbers`` are term numbers and ``passage`` the passages they stand in.
+        ``numbers`` are term numbers and ``passage`` the passages they stand in. ``counts`` takes the number of
+        postings in the lists, of those cursors stood on, and of block skips and scored items.
         """
         key = np.unique(passage * len(self.terms) + numbers)
         passage, numbers = key // len(self.terms), key % len(self.terms)
-        size = self.starts[numbers + 1] - self.starts[numbers]
-        at = np.repeat(self.starts[numbers] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        pair = np.repeat(passage, size) * self.n_blocks + self.blocks[at]
-        # Passages come in ascending order, so a dense table over their range is as long as they are many.
-        low = int(passage[0]) * self.n_blocks
-        span = (int(passage[-1]) + 1) * self.n_blocks - low
-        if span <= 1 << 24:
-            bound = np.bincount(pair - low, weights=self.most[at], minlength=span)
-            found = np.flatnonzero(bound.reshape(-1, self.n_blocks) >= self.block_needs - 1e-9)
-            return found // self.n_blocks + int(passage[0]), found % self.n_blocks
-        pairs, which = np.unique(pair, return_inverse=True)
-        bound = np.bincount(which, weights=self.most[at])
-        pairs = pairs[bound >= self.block_needs[pairs % self.n_blocks] - 1e-9]
-        return pairs // self.n_blocks, pairs % self.n_blocks
+        if counts is not None:
+            counts["postings"] += int((self.starts[numbers + 1] - self.starts[numbers]).sum())
+        # A passage whose lists' maxima do not reach the easiest need has no pivot.
+        names, begin, n = np.unique(passage, return_index=True, return_counts=True)
+        hopeful = np.add.reduceat(self.list_most[numbers], begin) >= self.block_needs.min() - 1e-9
+        order = np.argsort(n[hopeful], kind="stable")  # passages of about one number of terms together
+        names, begin, n = names[hopeful][order], begin[hopeful][order], n[hopeful][order]
+        found = []
+        for a in range(0, len(names), _PASSAGES_AT_ONCE):
+            some = slice(a, a + _PASSAGES_AT_ONCE)
+            column = np.arange(n[some].max())
+            term = np.where(column < n[some][:, None], numbers[np.minimum(begin[some][:, None] + column, len(numbers) - 1)], -1)
+            found += self._walk(names[some], term, counts)
+        row, item = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((item, row))
+        return row[order], item[order]
+
+    def _walk(self, names: np.ndarray, term: np.ndarray, counts: Counter | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cursors of the terms (rows, -1 where there is none) from their lists' first items to the last."""
+        end, found = len(self.left), []
+        at = np.where(term >= 0, self.starts[term], len(self.listed) - 1)
+        item = self.listed[at]
+        most = np.where(term >= 0, self.list_most[term], 0.0)
+        least = self.block_needs.min() - 1e-9
+        if counts is not None:
+            counts["read"] += int((item < end).sum())
+        while len(names):
+            order = np.argsort(item, axis=1)
+            ordered = np.take_along_axis(item, order, axis=1)
+            live = np.where(ordered < end, np.take_along_axis(most, order, axis=1), 0.0)
+            reached = np.cumsum(live, axis=1) >= least
+            go = reached.any(axis=1)
+            names, term, at, item, most = names[go], term[go], at[go], item[go], most[go]
+            if not len(names):
+                break
+            pivot = ordered[go][np.arange(len(names)), reached[go].argmax(axis=1)]
+            block = pivot // BLOCK_ITEMS
+            upto = item <= pivot[:, None]
+            row, col = np.nonzero(upto)
+            wanted = term[row, col] * self.n_blocks + block[row]
+            place = np.minimum(np.searchsorted(self.block_keys, wanted), len(self.block_keys) - 1)
+            maxima = np.where(self.block_keys[place] == wanted, self.most[place], 0.0)
+            bound = np.bincount(row, weights=maxima, minlength=len(names))
+            skip = bound < self.block_needs[block] - 1e-9
+            ready = ~skip & (item.min(axis=1) == pivot)
+            if ready.any():
+                on = ready[row] & (item[row, col] == pivot[row])
+                score = np.bincount(row[on], weights=self.impact[at[row, col]][on], minlength=len(names))
+                good = ready & (score >= self.left[pivot] - 1e-9)
+                found.append((names[good], pivot[good]))
+            beyond = np.where(upto, end, item).min(axis=1)
+            target = np.where(skip, np.minimum((block + 1) * BLOCK_ITEMS, beyond), np.where(ready, pivot + 1, pivot))
+            move = item[row, col] < target[row]
+            row, col = row[move], col[move]
+            moved = term[row, col]
+            to = np.searchsorted(self.keys, moved * (end + 1) + target[row])
+            to = np.where(to < self.starts[moved + 1], to, len(self.listed) - 1)
+            at[row, col] = to
+            item[row, col] = self.listed[to]
+            if counts is not None:
+                counts["read"] += int((item[row, col] < end).sum())
+                counts["skips"] += int(skip.sum())
+                counts["scored"] += int(ready.sum())
+        return found
 
     def leaks(self, texts: list[list[bytes]], containment: float, least_overlap: float) -> Iterator[tuple]:
         """(text, item, score, containment, question overlap, answer overlap, first word) of every leak."""
@@ -165,36 +222,34 @@ class ItemIndex:
         own = first[of] + window
         also = window > 0
         numbers = numbers[place]
-        found, blocks = self.surviving(
+        found, items = self.retrieved(
             np.concatenate([numbers, numbers[also]]), np.concatenate([own, own[also] - 1])
         )
         text_of = np.searchsorted(first, found, side="right") - 1
-        for passage, block, text in zip(found.tolist(), blocks.tolist(), text_of.tolist()):
-            begin = (passage - int(first[text])) * self.stride
-            # Verified on a margin around the passage, where a changed copy may reach.
-            words = texts[text][begin : begin + 2 * self.stride]
-            inside = set(words)
-            wide, wide_shingles = None, None
-            for i in range(block * BLOCK_ITEMS, min(len(self.items), (block + 1) * BLOCK_ITEMS)):
-                score = sum(v for t, v in self.impacts[i].items() if t in inside)
-                if score < self.needed[i] - 1e-9:
-                    continue
-                if wide is None:
-                    low = max(0, begin - self.stride // 2)
-                    around = texts[text][low : begin + 2 * self.stride + self.stride // 2]
-                    wide, wide_shingles = set(around), shingles(around)
-                item = self.items[i]
-                share = len(item.shingles & wide_shingles) / len(item.shingles)
-                if share < containment - 1e-9:
-                    continue
-                if len(next(iter(item.question)).split()) == SHINGLE:
-                    question = len(item.question & wide_shingles) / len(item.question)
-                else:
-                    asked = next(iter(item.question)).split()
-                    question = sum(w in wide for w in asked) / len(asked)
-                answer = sum(w in wide for w in item.answer) / max(1, len(item.answer))
-                if min(question, answer) >= least_overlap - 1e-9:
-                    yield text, i, score / sum(self.impacts[i].values()), share, question, answer, begin
+        last = None
+        for passage, i, text in zip(found.tolist(), items.tolist(), text_of.tolist()):
+            if passage != last:
+                last, begin = passage, (passage - int(first[text])) * self.stride
+                # Verified on a margin around the passage, where a changed copy may reach.
+                inside = set(texts[text][begin : begin + 2 * self.stride])
+                low = max(0, begin - self.stride // 2)
+                around = texts[text][low : begin + 2 * self.stride + self.stride // 2]
+                wide, wide_shingles = set(around), shingles(around)
+            score = sum(v for t, v in self.impacts[i].items() if t in inside)
+            if score < self.needed[i] - 1e-9:
+                continue
+            item = self.items[i]
+            share = len(item.shingles & wide_shingles) / len(item.shingles)
+            if share < containment - 1e-9:
+                continue
+            if len(next(iter(item.question)).split()) == SHINGLE:
+                question = len(item.question & wide_shingles) / len(item.question)
+            else:
+                asked = next(iter(item.question)).split()
+                question = sum(w in wide for w in asked) / len(asked)
+            answer = sum(w in wide for w in item.answer) / max(1, len(item.answer))
+            if min(question, answer) >= least_overlap - 1e-9:
+                yield text, i, score / sum(self.impacts[i].values()), share, question, answer, begin
 
 
 def build_indexes(
