@@ -335,3 +335,28 @@ def test_whole_run_is_stored_and_read_back(spark, tmp_path):
     assert not glob.glob(f"{checkpoint_root(spark)}/weekloom/stage-*/panel*")
     with pytest.raises(ValueError, match="unknown series"):
         train_run(sales, root, "v20240102_000000", at, settings, names=["Ohio", "Utah"], models=("additive",))
+
+
+def test_additive_gathers_weeks_not_regressors(spark):
+    """What is gathered per series and fold is a few numbers per week; the wide rows are made of them behind it."""
+    import re
+
+    from weekloom.forecasters.additive import fit_additive
+    from weekloom.params import AdditiveParams
+
+    train = history(spark, {"a": yearly(N)})
+    for p in (AdditiveParams(), AdditiveParams(changepoint_l1=0.1)):
+        plan = fit_additive(train, p)._jdf.queryExecution().optimizedPlan().toString()
+        gathered = re.findall(r"collect_list\(([^\n]*?), 0, 0\)", plan)
+        assert gathered and all("day" in g and "SIN" not in g for g in gathered)
+
+
+def test_rows_made_of_parts_give_the_same_factors(spark):
+    rows = [(k, t, float((7 * t + k) % 5)) for k in (1, 2) for t in range(9)]
+    df = spark.createDataFrame(rows, "k int, t int, y double").coalesce(1).sortWithinPartitions("k", "t")
+    wide = lambda w: F.array(F.lit(1.0), w["t"].cast("double"), w["y"])
+    direct = df.select("k", wide({c: F.col(c) for c in ("t", "y")}).alias("z"))
+    for make, out in ((gr.gram_by_group, "gram"), (gr.qr_by_group, "r")):
+        plain = {r.k: r[out] for r in make(direct, ("k",), "z", 3).collect()}
+        parts = {r.k: r[out] for r in make(df, ("k",), wide, 3, ("t", "y")).collect()}
+        assert parts == plain
