@@ -135,3 +135,22 @@ def test_all_folds_and_series_without_values(spark):
     assert {r.series_id for r in folds.select("series_id").distinct().collect()} == {"n256"}
     assert folds.select("fold").distinct().count() == (256 - 112) // 4 + 1
     assert [(r.series_id, r.error) for r in fd.skipped_series(p).collect()] == [("none", "series has no values")]
+
+
+def test_neighbours_spare_the_sort_of_the_grid(spark):
+    """Values, empty weeks, weeks of NULLs, a row without a date and a series without any value."""
+    day = date(2024, 1, 7)
+    known = {0: None, 2: 4.0, 5: None, 7: 10.0, 8: None, 12: 3.0, 14: None}
+    rows = [("a", day + timedelta(days=7 * w), v) for w, v in known.items()]
+    rows += [("b", day + timedelta(days=7 * w), None) for w in (0, 3)]
+    rows += [("a", None, 99.0), (None, day, 1.0), (None, day + timedelta(days=21), 7.0), ("c", day, 5.0)]
+    weekly = pn.weekly_resample(sales(spark, rows))
+    for mode in ("linear", "ffill", "bfill"):
+        plain = pn.impute(pn.gap_fill_grid(weekly), mode)
+        spared = pn.impute(pn.gap_fill_grid(weekly, neighbours=True), mode)
+        assert spared.columns == plain.columns
+        key = lambda r: (r.series_id or "", r.week_end)
+        assert sorted(spared.collect(), key=key) == sorted(plain.collect(), key=key)
+    # One window, over the observed weeks; the whole panel needs one more, for the capping bounds.
+    for df, windows in ((spared, 1), (pn.prepare_panel(sales(spark, rows)), 2)):
+        assert df._jdf.queryExecution().sparkPlan().toString().count("Window [") == windows

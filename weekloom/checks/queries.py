@@ -195,30 +195,30 @@ def gap_fill_grid(spark, d):
     return pn.gap_fill_grid(pn.weekly_resample(od.customer_sales(spark, d), MONEY))
 
 
-def _customer_grid(spark, d):
-    return pn.gap_fill_grid(pn.weekly_resample(od.customer_sales(spark, d), MONEY))
+def _customer_grid(spark, d, neighbours=False):
+    return pn.gap_fill_grid(pn.weekly_resample(od.customer_sales(spark, d), MONEY), neighbours)
 
 
 @query
 def impute_linear(spark, d):
-    return pn.impute(_customer_grid(spark, d), "linear")
+    return pn.impute(_customer_grid(spark, d, neighbours=True), "linear")
 
 
 @query
 def impute_ffill_bfill(spark, d):
     """Interior gaps left to the ends: forward fill, then back fill."""
-    return pn.impute(_customer_grid(spark, d), "ffill")
+    return pn.impute(_customer_grid(spark, d, neighbours=True), "ffill")
 
 
 @query
 def impute_mode(spark, d):
-    return pn.impute(_customer_grid(spark, d), "bfill")
+    return pn.impute(_customer_grid(spark, d, neighbours=True), "bfill")
 
 
 @query
 def impute_residual_check(spark, d):
     """Customers all of whose orders are pending have no value to impute from."""
-    return pn.impute_residual_check(pn.impute(_customer_grid(spark, d)))
+    return pn.impute_residual_check(pn.impute(_customer_grid(spark, d, neighbours=True)))
 
 
 @query

@@ -3,7 +3,8 @@
 Raw rows are summed per series and week before anything is keyed by series alone, with partial sums
 on the map side; a series that holds a third of all raw rows is then no longer than any other. From
 there a series has one row per calendar week, so one shuffle by ``series_id`` serves the grid,
-imputation and capping, and every later window over a series.
+imputation and capping, and every later window over a series. What imputation needs is found before the
+empty weeks are put in.
 """
 
 from __future__ import annotations
@@ -30,50 +31,81 @@ def weekly_resample(sales: DataFrame, params: PanelParams = PanelParams()) -> Da
     )
 
 
-def gap_fill_grid(weekly: DataFrame) -> DataFrame:
+_NEIGHBOURS = ("y0", "t0", "y1", "t1")
+
+
+def gap_fill_grid(weekly: DataFrame, neighbours: bool = False) -> DataFrame:
     """Every week from a series' first to its last, with its position ``t``; new weeks are NULL.
 
     Each observed week emits itself and the empty weeks up to the next observed one, so there is no
-    calendar to join with.
+    calendar to join with. ``neighbours`` adds what ``impute`` needs, the nearest values before and after
+    with their positions: found on the few observed weeks, so that the full grid is not sorted for them.
     """
     by_week = Window.partitionBy("series_id").orderBy("week_end")
     so_far = by_week.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = "OVER (PARTITION BY series_id ORDER BY week_end)"
+    # A row without a week is no week of the grid, so its value is nobody's neighbour.
+    near = {
+        f"{name}{side}": F.expr(f"{offset}(CASE WHEN {known} THEN {value} END) IGNORE NULLS {over}")
+        for side, offset in enumerate(("lag", "lead"))
+        for name, known, value in (("y", "week_end IS NOT NULL", "y"), ("w", "y IS NOT NULL", "week_end"))
+    }
     observed = weekly.select(
         "series_id",
         F.col("week_end").alias("seen"),
         "y",
         F.min("week_end").over(so_far).alias("first_week"),
         F.coalesce(F.date_sub(F.lead("week_end").over(by_week), 7), F.col("week_end")).alias("upto"),
+        *[c.alias(n) for n, c in near.items() if neighbours],
     )
     weeks = F.sequence("seen", "upto", F.expr("INTERVAL 7 DAYS"))
-    grid = observed.select("series_id", "seen", "y", "first_week", F.explode(weeks).alias("week_end"))
+    grid = observed.select(*[c for c in observed.columns if c != "upto"], F.explode(weeks).alias("week_end"))
+
+    def place(week: str | Column) -> Column:
+        return (F.datediff(week, "first_week") / 7).cast("int")
+
+    at_seen = F.col("week_end") == F.col("seen")
+    found = {}
+    if neighbours:
+        # An empty week behind an observed one has that one's value before it.
+        own = ~at_seen & F.col("y").isNotNull()
+        found = {
+            "y0": F.when(own, F.col("y")).otherwise(F.col("y0")),
+            "t0": place(F.when(own, F.col("seen")).otherwise(F.col("w0"))),
+            "y1": F.col("y1"),
+            "t1": place("w1"),
+        }
     return grid.select(
         "series_id",
         "week_end",
-        (F.datediff("week_end", "first_week") / 7).cast("int").alias("t"),
-        F.when(F.col("week_end") == F.col("seen"), F.col("y")).alias("y"),
+        place("week_end").alias("t"),
+        F.when(at_seen, F.col("y")).alias("y"),
+        *[found[n].alias(n) for n in _NEIGHBOURS if found],
     )
 
 
 def impute(grid: DataFrame, mode: str = "linear") -> DataFrame:
     """Fill NULL weeks: ``linear`` by position, ``ffill`` or ``bfill`` first, then both ends.
 
-    ``IGNORE NULLS`` offsets find the neighbours with a value in one pass over one sort.
+    A grid with ``neighbours`` is filled row by row; else ``IGNORE NULLS`` offsets find the neighbours with a
+    value in one pass over one sort.
     """
     PanelParams(imputation=mode)
-    over = "OVER (PARTITION BY series_id ORDER BY week_end)"
-    seen_t = "CASE WHEN y IS NOT NULL THEN t END"
-    near = grid.select(
-        "*",
-        F.expr(f"lag(y) IGNORE NULLS {over}").alias("y0"),
-        F.expr(f"lag({seen_t}) IGNORE NULLS {over}").alias("t0"),
-        F.expr(f"lead(y) IGNORE NULLS {over}").alias("y1"),
-        F.expr(f"lead({seen_t}) IGNORE NULLS {over}").alias("t1"),
-    )
+    near = grid
+    if not set(_NEIGHBOURS) <= set(grid.columns):
+        over = "OVER (PARTITION BY series_id ORDER BY week_end)"
+        seen_t = "CASE WHEN y IS NOT NULL THEN t END"
+        near = grid.select(
+            "*",
+            F.expr(f"lag(y) IGNORE NULLS {over}").alias("y0"),
+            F.expr(f"lag({seen_t}) IGNORE NULLS {over}").alias("t0"),
+            F.expr(f"lead(y) IGNORE NULLS {over}").alias("y1"),
+            F.expr(f"lead({seen_t}) IGNORE NULLS {over}").alias("t1"),
+        )
     y, y0, y1 = F.col("y"), F.col("y0"), F.col("y1")
     line = y0 + (y1 - y0) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     order = {"linear": (y, line, y0, y1), "ffill": (y, y0, y1), "bfill": (y, y1, y0)}[mode]
-    return near.withColumn("y", F.coalesce(*order)).drop("y0", "t0", "y1", "t1")
+    return near.withColumn("y", F.coalesce(*order)).drop(*_NEIGHBOURS)
 
 
 def impute_residual_check(panel: DataFrame) -> DataFrame:
@@ -136,7 +168,7 @@ def prepare_panel(sales: DataFrame, params: PanelParams = PanelParams(), cap: bo
 
     ``cap=False`` leaves capping to the folds (see ``fold_scoped_cap``).
     """
-    panel = impute(gap_fill_grid(weekly_resample(sales, params)), params.imputation)
+    panel = impute(gap_fill_grid(weekly_resample(sales, params), neighbours=True), params.imputation)
     if cap and params.outlier_strategy == "cap":
         panel = iqr_cap(panel, params.iqr_multiplier)
     return panel
