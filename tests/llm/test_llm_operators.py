@@ -12,6 +12,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -264,6 +265,61 @@ def test_cuts_are_cheapest(seed):
     assert cost(packing.choose_cuts(positions, prices, window)) == best[len(positions) - 1]
 
 
+class _Counted:
+    """A tokenizer that remembers what it was asked to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, units, **options):
+        self.asked += units
+        return self.tokenizer.encode_batch_fast(units, **options)
+
+
+def test_packing_sends_letters_straight_to_the_merges():
+    """The whole tokenizer, normaliser and splitter included, takes several times as long for a new word."""
+    encode = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode.tokenizer = counted = _Counted(encode.tokenizer)
+    text = _prose(5, 2000) + " Été, ÇA naïf. Straße! don't x1 a-b ..."
+    ids, marks = encode(text.encode())
+    assert ids.tolist() == counted.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(counted.asked) == sorted([",", ".", "!", "don't", "x1", "a-b", "..."])
+    assert marks[:, 1].tolist() == [packing.CLAUSE_PENALTY] + [packing.SENTENCE_PENALTY] * 3
+
+
+def test_packing_leaves_letters_to_other_splitters(tmp_path):
+    """A vocabulary whose splitter or added tokens cut runs of letters is asked as a whole."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.add_tokens(["zebra"])
+    tokenizer.save(str(tmp_path / "added.json"))
+    encode = packing.WordEncoder(str(tmp_path / "added.json"))
+    assert encode.letters == {}
+    assert encode(b"a zebra, zebras")[0].tolist() == tokenizer.encode("a zebra, zebras", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_of_odd_words(seed):
+    """Ids of many texts at once are those of each whole text, whatever stands between and inside its words."""
+    rng = random.Random(seed)
+    parts = [*"abzABZéÉßÿŸÀÞ×÷ªµ.,;:!?'-_09 \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u200b\u0331\u0301İKÅﬁ中Σς😀\x00"]
+    parts += ["<|endoftext|>", "<|STARTOFTEXT|>", "'s", "n't", " ", " ", "<|", "H\u0331", "ab", "Abc,"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(2000)] + ["", " ", None, "a "]
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encode = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = list(encode.encode(pa.array(texts)))
+    assert [ids.tolist() for ids, _ in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for text, (ids, marks) in zip(texts, got):
+        words = (text or "").encode().split()
+        assert marks[:, 1].tolist() == [8 if w[-1:] in b".!?" else 16 for w in words if w[-1:] in b".!?,;:"]
+        assert not len(marks) or 0 < marks[0, 0] <= marks[-1, 0] <= len(ids)
+
+
+def test_packing_chunks_are_bounded():
+    texts = pa.array(["x" * n for n in (5, 5, 5, 40, 0, 3)] + [None])
+    batch = pa.record_batch({"_id": pa.array(range(7)), "_text": texts})
+    assert [c.column("_id").to_pylist() for c in packing.chunks([batch], 10)] == [[0, 1], [2], [3], [4, 5, 6]]
+
+
 def test_powers_of_two():
     assert packing.powers_of_two(1500) == [1024, 256, 128, 64, 16, 8, 4] and packing.powers_of_two(1) == [1]
 

@@ -19,114 +19,162 @@ gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weekloom.llm.common import byte_texts, slices
-
 SENTENCE_PENALTY = 8
 CLAUSE_PENALTY = 16
 HARD_PENALTY = 256
 # Ids gathered before windows are chosen; a bound on memory, not on documents.
 BLOCK_TOKENS = 1 << 20
-# Words and units of words a worker remembers; a unit the vocabulary has to encode costs many times a hit.
-_HELD_WORDS = 1_000_000
-_HELD_UNITS = 600_000
-_SENTENCE_ENDS = (b".", b"!", b"?")
-_CLAUSE_ENDS = (b",", b";", b":")
-_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+# Units of words a worker remembers; one that the vocabulary has to encode costs many times a hit.
+_HELD_UNITS = 1_000_000
+# Texts whose words are told apart at once, in bytes; a longer text is taken alone.
+CHUNK_BYTES = 2 << 20
+_LOWER = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_CLOSING = ".,;:!?"
+_PLAIN = f"^[{_LETTERS}]+[{_CLOSING}]*$"
+_STEM = f"^[{_LETTERS}]+"
+_SENTENCE_END = "[.!?]$"
+_CLAUSE_END = "[,;:]$"
 
 
 class WordEncoder:
     """Ids of whole texts from the ids of their words.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its
-    words one after another; each word is encoded once while it stays in the table. Plain letters with
-    closing punctuation are two units to the vocabulary, which folds case: those share their letters.
+    words one after another. Plain letters with closing punctuation are two units to the vocabulary,
+    which folds case: those share their letters. Each unit is encoded once while it stays in the table;
+    letters go straight to the vocabulary's merges, where its normaliser and splitter leave them whole.
     """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
-        self.units: dict[bytes, bytes] = {}  # unsigned 32-bit ids, packed
+        self.model = self.tokenizer.model
+        self.letters = _letter_names(self.tokenizer)
         self.reset()
 
     def reset(self) -> None:
-        self.index = _Numbers()
+        self.units = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
-        self.prices = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, words: list[bytes]) -> None:
-        split = []
-        for word in words:
-            plain = _PLAIN.fullmatch(word)
-            split.append((plain[1].lower(), plain[2]) if plain and plain[2] else (word.lower() if plain else word,))
-        if len(self.units) > _HELD_UNITS:
-            self.units.clear()
-        new = list({unit for units in split for unit in units if unit not in self.units})
-        encoded = self.tokenizer.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)
-        self.units.update((unit, array("I", enc.ids).tobytes()) for unit, enc in zip(new, encoded))
-        n = len(self.index) - len(words)
-        packed = [b"".join([self.units[unit] for unit in units]) for units in split]
-        ids = np.frombuffer(b"".join(packed), np.uint32)
-        lengths = [len(p) // 4 for p in packed]
+    def _add(self, new: list[str], encoded: list[list[int]]) -> None:
+        n = len(self.units)
+        self.units.update(zip(new, range(n, n + len(new))))
+        lengths = np.fromiter(map(len, encoded), np.int64, len(new))
+        ids = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
         self.flat = _room(self.flat, self.used + len(ids))
-        tables = (self.starts, self.lengths, self.prices)
-        self.starts, self.lengths, self.prices = (_room(a, len(self.index)) for a in tables)
+        self.starts, self.lengths = _room(self.starts, n + len(new)), _room(self.lengths, n + len(new))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.lengths[n : len(self.index)] = lengths
-        self.starts[n : len(self.index)] = self.used + np.cumsum(lengths) - lengths
-        self.prices[n : len(self.index)] = [
-            SENTENCE_PENALTY if w.endswith(_SENTENCE_ENDS) else CLAUSE_PENALTY * w.endswith(_CLAUSE_ENDS) for w in words
-        ]
+        self.lengths[n : n + len(new)] = lengths
+        self.starts[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and (position, price) behind the words that end a sentence or a clause."""
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros((0, 2), np.int64)
-        if len(self.index) > _HELD_WORDS:
+    def _numbers(self, units: list[str], letters: bool = False) -> np.ndarray:
+        """The places of different ``units`` in the table; ``letters`` are lower-case runs of ``_LETTERS``."""
+        known = self.units
+        new = [unit for unit in units if unit not in known]
+        if new and letters and self.letters:
+            names, tokenize = self.letters, self.model.tokenize
+            spelt = (unit if unit.isascii() else unit.translate(names) for unit in new)
+            self._add(new, [[token.id for token in tokenize(unit)] for unit in spelt])
+        elif new:
+            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self._add(new, [e.ids for e in encoded])
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, starts, lengths, prices)``: ids of different ``words`` side by side, prices of a cut behind each."""
+        prices = np.where(_mask(words, _SENTENCE_END), SENTENCE_PENALTY, CLAUSE_PENALTY * _mask(words, _CLAUSE_END))
+        plain = _mask(words, _PLAIN)
+        closed = plain & (prices > 0)
+        first, behind = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[~plain] = self._numbers(_strings(words.filter(pa.array(~plain))))
+        stems = pc.utf8_rtrim(pc.utf8_lower(words.filter(pa.array(plain))), _CLOSING).dictionary_encode()
+        first[plain] = self._numbers(_strings(stems.dictionary), letters=True)[stems.indices.to_numpy()]
+        tails = pc.replace_substring_regex(words.filter(pa.array(closed)), _STEM, "").dictionary_encode()
+        behind[closed] = self._numbers(_strings(tails.dictionary))[tails.indices.to_numpy()]
+        pairs = np.column_stack([first, behind])
+        lengths = self.lengths[pairs].sum(axis=1)
+        ids = _runs(self.flat, self.starts[pairs.ravel()], self.lengths[pairs.ravel()])
+        return ids, np.cumsum(lengths) - lengths, lengths, prices
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per text, null as empty: its ids, and (position, price) behind the words that end a sentence or a clause."""
+        if len(self.units) > _HELD_UNITS:
             self.reset()
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.new:
-            self._add(self.index.new)
-            self.index.new = []
-        lengths = self.lengths[at]
-        behind = np.cumsum(lengths)
-        shift = np.repeat(self.starts[at] - (behind - lengths), lengths)
-        shift += np.arange(len(shift))
-        prices = self.prices[at]
-        marks = np.flatnonzero(prices)
-        return self.flat[shift], np.column_stack([behind[marks], prices[marks]])
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        flat, starts, lengths, prices = self._words(words.dictionary)
+        ids = _runs(flat, starts[at], lengths[at])
+        behind = np.concatenate([[0], np.cumsum(lengths[at])])
+        prices = prices[at]
+        marked = np.flatnonzero(prices)
+        marks = np.column_stack([behind[marked + 1], prices[marked]])
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        mark_edges = np.searchsorted(marked, edges)
+        for i in range(len(texts)):
+            low, high = behind[edges[i]], behind[edges[i + 1]]
+            yield ids[low:high], marks[mark_edges[i] : mark_edges[i + 1]] - (low, 0)
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.encode(pa.array([text])))
+
+
+def _letter_names(tokenizer: Tokenizer) -> dict[int, str]:
+    """How the splitter spells each of ``_LOWER``.
+
+    Empty, so that all is left to the whole tokenizer, unless it folds letters one by one, keeps runs of
+    them whole and has no added token of letters.
+    """
+    normalizer, splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
+    if normalizer is None or splitter is None:
+        return {}
+
+    def spelt(text: str) -> list[str]:
+        return [piece for piece, _ in splitter.pre_tokenize_str(text)]
+
+    names = {ord(c): "".join(spelt(c)) for c in _LOWER}
+    runs = (_LOWER, _LOWER[::-1])
+    folded = normalizer.normalize_str(_UPPER + _LOWER) == _UPPER.lower() + _LOWER
+    whole = all(spelt(run) == [run.translate(names)] for run in runs) and all(names[ord(c)] == c for c in _LOWER[:26])
+    added = any(token.content.isalpha() for token in tokenizer.get_added_tokens_decoder().values())
+    return names if folded and whole and not added else {}
 
 
-class _Numbers(dict):
-    """Numbers words in the order they come; ``new`` has those not yet encoded."""
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
+def _mask(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[start : start + length]`` of all runs, one behind the other."""
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return values[at]
 
 
 def _room(values: np.ndarray, size: int) -> np.ndarray:
@@ -135,6 +183,18 @@ def _room(values: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
 
 
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with some ``size`` bytes of texts, one row at least."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 @lru_cache(maxsize=2)
 def word_encoder(file: str) -> WordEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already fills the cores
@@ -254,7 +314,7 @@ def pack_documents(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(file if Path(file).exists() else public_tokenizers.path(name))
+        encode = word_encoder(file if Path(file).exists() else public_tokenizers.path(name)).encode
         packer = _Packer(TaskContext.get().partitionId() << 33, window)
         id_type = None
 
@@ -265,10 +325,9 @@ def pack_documents(
             columns |= {"sequence_id": pa.array(pieces["sequence"], pa.int64())}
             return pa.record_batch(columns | {"offset": pa.array(pieces["offset"], pa.int64())})
 
-        for batch in slices(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             id_type = batch.column("_id").type
-            for key, text in zip(batch.column("_id").to_pylist(), byte_texts(batch.column("_text"))):
-                ids, marks = encode(text)
+            for key, (ids, marks) in zip(batch.column("_id").to_pylist(), encode(batch.column("_text"))):
                 packer.add(key, np.append(ids, np.uint32(end_id)), marks)
                 if packer.held >= BLOCK_TOKENS:
                     yield table(packer.solve(last=False))
