@@ -18,3 +18,11 @@ def spark():
     ship_package(session)
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(request):
+    """What a test caches is not seen by the tests after it."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
